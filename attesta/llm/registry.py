@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secrets
+from . import exact_dedup, media, mixing, near_dedup, packing, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op3_media_columns": media.query,
+    "op4_pack_windows": packing.query,
     "op5_exact_dedup": exact_dedup.query,
     "op9_mix_sources": mixing.query,
+    "op10_near_duplicates": near_dedup.query,
 }
 
 SQL = {
