@@ -95,16 +95,16 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
-        # fullest first; the fullest of one meets the emptiest of the other
+        # both have the fullest window first; counted with their empty windows, one's k-th meets the other's k-th from last
         free = windows - len(a)
         over = len(b) - free
         if over <= 0:
             merged = a + b
         else:
-            merged = a[: len(a) - over] + b[over:]
+            merged = a[: len(a) - over] + b[:free]
             for k in range(over):
                 sa, ia = a[len(a) - 1 - k]
-                sb, ib = b[k]
+                sb, ib = b[free + k]
                 merged.append((sa + sb, ia + ib))
         merged.sort(key=lambda w: -w[0])
         if len(merged) == windows:
