@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import attach_groups, read_table, stored, text_or_empty
+from .store import attach_groups, read_table, stored, text_or_empty, without
 
 RUNS = 16
 FAN_IN = 4
@@ -67,12 +67,12 @@ def exact_groups(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", tex
 
 def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The documents that stay, with all their columns; rows that repeat both identifier and text become one."""
-    groups = exact_groups(docs, keep)
-    dropped = groups.where("NOT kept").select("doc_id").distinct()
-    repeated = groups.where("kept AND group_size > 1").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = docs.join(dropped.unionByName(repeated), "doc_id", "left_anti")
-    again = docs.join(repeated.join(dropped, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(docs.columns)
+    groups = stored(exact_groups(docs, keep), "decided")
+    dropped = groups.where("NOT kept")
+    repeated = stored(groups.where("kept AND group_size > 1").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    rest = without(docs, dropped)
+    again = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return without(rest, repeated).unionByName(again).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

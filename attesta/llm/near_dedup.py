@@ -10,7 +10,7 @@ Long lists are never expanded into all pairs:
 
 1. every member is compared with one leader of its list (the member with the smallest mixed identifier);
 2. members that a leader doesn't link to the same class are compared with each other inside the join, whose condition
-   drops a pair by size and by the parity signature: 512 bits, each toggled by the shingles that fall on it. Two sets
+   drops a pair by size and by the parity signature: 2048 bits, each toggled by the shingles that fall on it. Two sets
    cannot differ in fewer shingles than their signatures differ in bits, so no link is lost.
 
 Surviving pairs pass the union sketch (the smallest SKETCH values of both sketches estimate the similarity; the margin
@@ -25,15 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import attach_groups, read_table, stored
+from .store import attach_groups, read_table, small_enough, stored, without
 from .textvec import buffers, mix64, shingle_hashes, word_hashes
 
 SKETCH = 40
 RUN = 3
-WORDS = 8
-#: Identifiers of documents in lists are broadcast up to this number (8 bytes each), and shuffled beyond it.
-BROADCAST_IDS = 2_000_000
-
+WORDS = 32
 _FEATURES = "doc_id long, n long, set_a long, set_b long, sketch array<long>, parity array<long>"
 
 
@@ -42,9 +39,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _sets(batch, width: int):
-    """Per row, the sorted distinct shingle hashes."""
+    """Per row, the sorted distinct shingle hashes, of 63 bits so that Spark orders them alike."""
     words, starts = word_hashes(*buffers(batch.column(1)))
     shingles, at = shingle_hashes(words, starts, width)
+    shingles >>= np.uint64(1)
     return (np.unique(shingles[at[i] : at[i + 1]]) for i in range(batch.num_rows))
 
 
@@ -98,14 +96,14 @@ def _estimate(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: first by the union sketch, then on the full sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links: by the union of their sketches first, then on the full sets."""
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5
-    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b")
     whole = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"w{x}"))
+    sketch = lambda x: F.slice(f"w{x}", 1, SKETCH)
     common = F.size(F.array_intersect("wa", "wb"))
-    return near.join(whole("a"), "a").join(whole("b"), "b").where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("a", "b")
+    exact = 100 * common >= percent * (F.size("wa") + F.size("wb") - common)
+    return pairs.join(whole("a"), "a").join(whole("b"), "b").where((_estimate(sketch("a"), sketch("b")) >= least) & exact).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,16 +160,14 @@ def _links(texts: DataFrame, rows: DataFrame, classes: DataFrame, width: int, pe
     leaders = keyed.groupBy("key").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("length")).where("length > 1").select("key", F.col("first.leader").alias("leader"))
     listed = stored(keyed.join(leaders, "key"), "lists")
     ids = stored(listed.select("doc_id").distinct(), "listed")
-    few = ids.count() <= BROADCAST_IDS
-    known = F.broadcast(ids) if few else ids
-    sketches = stored(heads.join(known, "doc_id", "left_semi").select("doc_id", "n", "sketch", *(F.col("parity")[i].alias(f"p{i}") for i in range(WORDS))), "sketches")
+    known = small_enough(ids)
+    marks = stored(heads.join(known, "doc_id", "left_semi").select("doc_id", "n", *(F.col("parity")[i].alias(f"p{i}") for i in range(WORDS))), "marks")
     sets = stored(full_sets(texts.join(known, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
-    marks = sketches.drop("sketch")
 
     starred = listed.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).where("a <> b").distinct()
     x, y = marks.alias("x"), marks.alias("y")
     starred = starred.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(_may_link(percent, "x", "y")).select("a", "b")
-    first = stored(_verified(starred, sketches, sets, percent), "links")
+    first = stored(_verified(starred, sets, percent), "links")
 
     # documents linked to the same leader are connected already
     label = first.groupBy(F.col("a").alias("doc_id")).agg(F.min(F.struct(F.xxhash64("b").alias("r"), F.col("b").alias("to"))).alias("l"))
@@ -183,13 +179,12 @@ def _links(texts: DataFrame, rows: DataFrame, classes: DataFrame, width: int, pe
     x, y = members.alias("x"), members.alias("y")
     crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.l") != F.col("y.l")) & _may_link(percent, "x", "y"))
     crossed = crossed.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    return stored(_verified(crossed, sketches, sets, percent).unionByName(first), "links")
+    return stored(_verified(crossed, sets, percent).unionByName(first), "links")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, one of each component, with all their columns."""
-    gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, near_duplicates(docs, **options).where("NOT kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

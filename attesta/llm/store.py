@@ -57,5 +57,19 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     return done.unionByName(rest)
 
 
+#: Identifiers are broadcast up to this number (8 bytes each), and shuffled beyond it.
+BROADCAST_IDS = 2_000_000
+
+
+def small_enough(ids: DataFrame) -> DataFrame:
+    """A stored table of identifiers, with a broadcast hint if its counted size allows that."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` but for the rows whose identifier is in ``ids``."""
+    return docs.join(small_enough(stored(ids.select(id_col).distinct(), "dropped")), id_col, "left_anti").select(docs.columns)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))

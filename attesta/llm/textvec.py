@@ -24,6 +24,10 @@ _SHINGLE = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.ui
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Of every byte: 0 white space, 1 letters, digits and all of non-ASCII, 2 other ASCII.
+_KIND = np.ones(256, np.uint8)
+_KIND[:128] = [0 if _SPACE[b] else 1 if chr(b).isalnum() else 2 for b in range(128)]
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -79,19 +83,21 @@ def _blocks(space: np.ndarray, offsets: np.ndarray):
         start = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, bounds: bool = False):
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, punctuation: bool = False):
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+``, and where each text's words start among them.
 
-    ``bounds`` adds the words' first byte and byte length.
+    With ``punctuation``, words are also cut between letters or digits and other ASCII signs.
     """
     space = _SPACE[data]
+    kind = _KIND[data] if punctuation else None
     table = _LOWER if lower else _TABLE
-    hashes, firsts, sizes = [], [], []
+    hashes, firsts = [], []
     for lo, hi in _blocks(space, offsets):
         word = ~space[lo:hi]
         edge = np.zeros(hi - lo, dtype=bool)
-        own = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
-        edge[own] = True
+        edge[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo] = True
+        if punctuation:
+            edge[1:] |= kind[lo + 1 : hi] != kind[lo : hi - 1]
         begins = word.copy()
         begins[1:] &= ~word[:-1] | edge[1:]
         ends = word.copy()
@@ -103,14 +109,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, bound
             np.cumsum(table[data[lo:hi]] * _power("up", _BASE, n), out=sums[1:])
             hashes.append(mix64((sums[e] - sums[s]) * _power("down", _BASE_INVERSE, n)[s]))
             firsts.append(s + lo)
-            sizes.append(e - s)
-    empty = np.zeros(0, np.int64)
-    first = np.concatenate(firsts) if firsts else empty
+    first = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
     out = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    starts = np.searchsorted(first, offsets, "left")
-    if bounds:
-        return out, starts, first, np.concatenate(sizes) if sizes else empty
-    return out, starts
+    return out, np.searchsorted(first, offsets, "left")
 
 
 def shingle_hashes(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,3 +148,16 @@ def ngram_hashes(data: np.ndarray, width: int, lower: bool = True) -> np.ndarray
     for i in range(width):
         out += coded[i : i + n] * _SHINGLE[i]
     return mix64(out)
+
+
+def ngrams(data: np.ndarray, offsets: np.ndarray, width: int):
+    """Blocks of (row, hash) of all ``width``-byte windows that lie in one text, A-Z as a-z."""
+    total = int(offsets[-1])
+    for lo in range(0, total, BLOCK):
+        hi = min(lo + BLOCK, total)
+        hashes = ngram_hashes(data[lo : hi + width - 1], width)
+        first, last = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))
+        own = np.clip(offsets[first : last + 1], lo, hi)
+        row = np.repeat(np.arange(first, last), np.diff(own))[: len(hashes)]
+        fits = offsets[row + 1] - np.arange(lo, lo + len(hashes)) >= width
+        yield row[fits], hashes[fits]

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from attesta.llm import near_dedup
+from attesta.llm import near_dedup, store
 
 rng = random.Random(11)
 VOCABULARY = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7))) for _ in range(900)]
@@ -72,7 +72,7 @@ def test_components_equal_all_pairs(documents, width, percent):
 
 
 def test_shuffled_ids_beyond_the_broadcast_bound(documents, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(store, "BROADCAST_IDS", 0)
     rows = corpus()
     got = near_dedup.near_duplicates(documents(rows), 3, 85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 85)
