@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .store import read_table
 
 WINDOW = 1024
-FRAGMENT = 128
-BLOCK = 1024
+FRAGMENT = 256
+BLOCK = 512
 END_ID = 0
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, near_dedup, packing, secrets
+from . import exact_dedup, importance, language, media, mixing, near_dedup, packing, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op3_media_columns": media.query,
     "op4_pack_windows": packing.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_importance_resampling": importance.query,
+    "op7_language_id": language.query,
+    "op8_toxicity": toxicity.query,
     "op9_mix_sources": mixing.query,
     "op10_near_duplicates": near_dedup.query,
 }
