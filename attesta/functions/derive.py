@@ -132,7 +132,7 @@ def convert_unit(value: Column, factor: Column, offset: Column, to_factor: Colum
 
 
 def freshness(stamp: Column, as_of: Column) -> Column:
-    age = F.floor((F.unix_seconds(as_of) - F.unix_seconds(stamp)) / 86400)
+    age = F.floor((F.unix_seconds(as_of) - F.unix_seconds(stamp.cast("timestamp"))) / 86400)
     return F.when(age.isNull(), "unknown").when(age <= 30, "fresh").when(age <= 90, "aging").otherwise("stale")
 
 
