@@ -9,8 +9,8 @@ while a passage that many documents share rarely fills a run.
 Long lists are never expanded into all pairs:
 
 1. every member is compared with one leader of its list (the member with the smallest mixed identifier);
-2. members that a leader doesn't link to the same class are compared with each other inside the join, whose condition
-   drops a pair by size and by the parity signature: 2048 bits, each toggled by the shingles that fall on it. Two sets
+2. members whom these links leave in different components are compared with each other inside the join, whose condition
+   drops a pair by size and by the parity signature: 1024 bits, each toggled by the shingles that fall on it. Two sets
    cannot differ in fewer shingles than their signatures differ in bits, so no link is lost.
 
 Surviving pairs pass the union sketch (the smallest SKETCH values of both sketches estimate the similarity; the margin
@@ -30,7 +30,7 @@ from .textvec import buffers, mix64, shingle_hashes, word_hashes
 
 SKETCH = 40
 RUN = 3
-WORDS = 32
+WORDS = 16
 _FEATURES = "doc_id long, n long, set_a long, set_b long, sketch array<long>, parity array<long>"
 
 
@@ -169,10 +169,8 @@ def _links(texts: DataFrame, rows: DataFrame, classes: DataFrame, width: int, pe
     starred = starred.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(_may_link(percent, "x", "y")).select("a", "b")
     first = stored(_verified(starred, sets, percent), "links")
 
-    # documents linked to the same leader are connected already
-    label = first.groupBy(F.col("a").alias("doc_id")).agg(F.min(F.struct(F.xxhash64("b").alias("r"), F.col("b").alias("to"))).alias("l"))
-    own = F.struct(F.xxhash64("doc_id").alias("r"), F.col("doc_id").alias("to"))
-    labelled = marks.join(label, "doc_id", "left").withColumn("l", F.least(F.coalesce("l", own), own)["to"])
+    label = components(first).select(F.col("node").alias("doc_id"), F.col("component").alias("l"))
+    labelled = marks.join(label, "doc_id", "left").withColumn("l", F.coalesce("l", "doc_id"))
     members = listed.select("doc_id", "key").join(labelled, "doc_id")
     mixed = members.groupBy("key").agg(F.min("l").alias("least"), F.max("l").alias("most"), F.count(F.lit(1)).alias("length")).where("least <> most AND length > 2").select("key")
     members = stored(members.join(mixed, "key", "left_semi"), "members")
