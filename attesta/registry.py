@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from attesta.plans import changes, star
+from attesta.plans import changes, feeds, judgments, star
 
-_PLANS = (star, changes)
+_PLANS = (star, changes, feeds, judgments)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
