@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import derive
 from attesta.operators import access, catalog, entities, graph
+from attesta.sources.shared import stored
 from attesta.sources.tables import table
 
 AS_OF = "2024-02-20 00:00:00"
@@ -111,7 +112,7 @@ def graph_neighbours(spark, d):
 
 def graph_paths(spark, d):
     starts = table(spark, d, "region").where("r_regionkey < 2").select(F.concat(F.lit("region:"), "r_regionkey").alias("node_id"))
-    return graph.shortest_paths(_edges(spark, d), starts, 4).select("start", "node_id", "depth", F.array_join(F.transform("path", lambda h: h["edge_id"]), " > ").alias("path"))
+    return graph.shortest_paths(stored(_edges(spark, d), "edges"), starts, 4, stored).select("start", "node_id", "depth", F.array_join(F.transform("path", lambda h: h["edge_id"]), " > ").alias("path"))
 
 
 def graph_rebuild(spark, d):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from attesta.plans import changes, feeds, judgments, registry_graph, star
+from attesta.plans import changes, feeds, judgments, registry_graph, star, views
 
-_PLANS = (star, changes, feeds, judgments, registry_graph)
+_PLANS = (star, changes, feeds, judgments, registry_graph, views)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
