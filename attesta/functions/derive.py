@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MISSING_SOURCE = "Unspecified source"
 NEEDS_EVIDENCE, CAUTION = 40, 70
@@ -149,7 +150,7 @@ def identity_key(mapping: Column) -> Column:
     return F.array_join(F.array_sort(pairs), ";")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_name(names: pd.Series) -> pd.Series:
     """Compatibility decomposition, case folding, no accents; runs of a-z and 0-9 joined by a space."""
     plain = names.fillna("").map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s).casefold() if not unicodedata.combining(c)))
