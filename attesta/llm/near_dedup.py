@@ -9,7 +9,7 @@ while a passage that many documents share rarely fills a run.
 Long lists are never expanded into all pairs:
 
 1. every member is compared with one leader of its list (the member with the smallest mixed identifier);
-2. members whom these links leave in different components are compared with each other inside the join, whose condition
+2. members whom two rounds of contracting these links leave apart are compared with each other inside the join, whose condition
    drops a pair by size and by the parity signature: 1024 bits, each toggled by the shingles that fall on it. Two sets
    cannot differ in fewer shingles than their signatures differ in bits, so no link is lost.
 
@@ -97,37 +97,44 @@ def _estimate(a: Column, b: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: by the union of their sketches first, then on the full sets."""
+    """The rows of ``pairs`` whose a and b are linked: by the union of their sketches first, then on the full sets."""
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5
     whole = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"w{x}"))
     sketch = lambda x: F.slice(f"w{x}", 1, SKETCH)
     common = F.size(F.array_intersect("wa", "wb"))
     exact = 100 * common >= percent * (F.size("wa") + F.size("wb") - common)
-    return pairs.join(whole("a"), "a").join(whole("b"), "b").where((_estimate(sketch("a"), sketch("b")) >= least) & exact).select("a", "b")
+    return pairs.join(whole("a"), "a").join(whole("b"), "b").where((_estimate(sketch("a"), sketch("b")) >= least) & exact).select(pairs.columns)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of (a, b) edges; the component is its smallest node.
+def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges (a, b), a > b, with the same components, after so many rounds, or until every a points at its smallest node.
 
-    Alternating large-star and small-star contractions until nothing changes: about log(diameter) rounds, each one
-    grouping edges by node with partial aggregation.
+    A round is a large-star and a small-star contraction: every node's larger, then its smaller neighbours are linked to
+    its smallest one. Grouping uses partial aggregation, so a hub is no hot key; about log(diameter) rounds are needed.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    done, seen = 0, None
+    while rounds is None or done < rounds:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        large = large.unionByName(low.where("m < a").select("a", F.col("m").alias("b")))
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_low.select("a", F.col("m").alias("b")))
-        now = stored(small.where("a <> b").distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        small = large.join(small_low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = stored(small.unionByName(small_low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        done += 1
+        if rounds is None:
+            state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if state == seen:
+                break
+            seen = state
+    return now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of (a, b) edges; the component is its smallest node."""
+    stars = contracted(edges)
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,15 +176,18 @@ def _links(texts: DataFrame, rows: DataFrame, classes: DataFrame, width: int, pe
     starred = starred.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(_may_link(percent, "x", "y")).select("a", "b")
     first = stored(_verified(starred, sets, percent), "links")
 
-    label = components(first).select(F.col("node").alias("doc_id"), F.col("component").alias("l"))
+    # two rounds join most of what belongs together; equal labels always do
+    joined = contracted(first, 2)
+    label = joined.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("l"))
     labelled = marks.join(label, "doc_id", "left").withColumn("l", F.coalesce("l", "doc_id"))
     members = listed.select("doc_id", "key").join(labelled, "doc_id")
     mixed = members.groupBy("key").agg(F.min("l").alias("least"), F.max("l").alias("most"), F.count(F.lit(1)).alias("length")).where("least <> most AND length > 2").select("key")
     members = stored(members.join(mixed, "key", "left_semi"), "members")
     x, y = members.alias("x"), members.alias("y")
     crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.l") != F.col("y.l")) & _may_link(percent, "x", "y"))
-    crossed = crossed.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    return stored(_verified(crossed, sets, percent).unionByName(first), "links")
+    crossed = crossed.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.l").alias("la"), F.col("y.l").alias("lb")).distinct()
+    between = _verified(crossed, sets, percent).select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct()
+    return stored(between, "links").unionByName(joined)
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
