@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, importance, language, media, mixing, near_dedup, packing, secrets, toxicity
+from . import exact_dedup, importance, language, media, mixing, near_dedup, packing, secrets, surrogates, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op2_pii_surrogates": surrogates.query,
     "op3_media_columns": media.query,
     "op4_pack_windows": packing.query,
     "op5_exact_dedup": exact_dedup.query,
