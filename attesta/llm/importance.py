@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import read_table, stored, without
-from .textvec import buffers, mix64, word_hashes
+from .textvec import buffers, mix64, slices, word_hashes
 
 BUCKETS = 1 << 14
 MARGIN = 10.0
@@ -46,7 +46,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         counts = np.zeros((2, 2, BUCKETS))
-        for batch in batches:
+        for batch in slices(batches):
             good = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
             row1, one, row2, two = _buckets(batch.column(0))
             for gram, (row, bucket) in enumerate(((row1, one), (row2, two))):
@@ -71,7 +71,7 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
 
 def _scorer(ratios: np.ndarray) -> Callable:
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             row1, one, row2, two = _buckets(batch.column(1))
             n = batch.num_rows
             score = np.bincount(row1, ratios[0][one], minlength=n) + np.bincount(row2, ratios[1][two], minlength=n)

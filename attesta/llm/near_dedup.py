@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import attach_groups, read_table, small_enough, stored, without
-from .textvec import buffers, mix64, shingle_hashes, word_hashes
+from .textvec import buffers, mix64, shingle_hashes, slices, word_hashes
 
 SKETCH = 40
 RUN = 3
@@ -60,7 +60,7 @@ def features(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     """(doc_id, n, set_a, set_b, sketch, parity): set size, a 128-bit hash of the set, and what pairs are found by."""
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b, sketch, parity = [], [], [], [], []
             for values in _sets(batch, width):
                 mixed = mix64(values)
@@ -78,7 +78,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles) of all rows of (doc_id, text)."""
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), _ragged(list(_sets(batch, width)))], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, shingles array<long>")

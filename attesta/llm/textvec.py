@@ -62,6 +62,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at - at[0]
 
 
+def slices(batches, rows: int = 1024):
+    """Record batches of at most ``rows`` rows: bounds the working memory of what is computed over a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _blocks(space: np.ndarray, offsets: np.ndarray):
     """Byte ranges of about BLOCK bytes that cut no word."""
     start, total = 0, int(offsets[-1])
