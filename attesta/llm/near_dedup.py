@@ -9,9 +9,14 @@ while a passage that many documents share rarely fills a run.
 Long lists are never expanded into all pairs:
 
 1. every member is compared with one leader of its list (the member with the smallest mixed identifier);
-2. members whom two rounds of contracting these links leave apart are compared with each other inside the join, whose condition
-   drops a pair by size and by the parity signature: 1024 bits, each toggled by the shingles that fall on it. Two sets
-   cannot differ in fewer shingles than their signatures differ in bits, so no link is lost.
+2. in lists of over ``LONG`` members that rounds of contracting these links leave apart, every member is compared with
+   up to ``LEADERS`` more leaders, each the first of a share of the list, in two of its lists;
+3. members who are apart even then are compared with each other inside the join, at the first of neighbouring runs that
+   they share.
+
+The joins' conditions drop a pair by size and by the parity signature: 1024 bits, each toggled by the shingles that fall
+on it. Two sets cannot differ in fewer shingles than their signatures differ in bits, so no link is lost. Step 2 only
+leaves less to step 3, which alone would find every link that connects something.
 
 Surviving pairs pass the union sketch (the smallest SKETCH values of both sketches estimate the similarity; the margin
 is six standard deviations) and are then verified on the full sets. Components of the links come from star
@@ -31,6 +36,9 @@ from .textvec import buffers, mix64, shingle_hashes, slices, word_hashes
 SKETCH = 40
 RUN = 3
 WORDS = 16
+LONG = 32
+LEADERS = 32
+_MARKS = ["n", *(f"p{i}" for i in range(WORDS))]
 _FEATURES = "doc_id long, n long, set_a long, set_b long, sketch array<long>, parity array<long>"
 
 
@@ -161,8 +169,9 @@ def _links(texts: DataFrame, rows: DataFrame, classes: DataFrame, width: int, pe
     """Links (a, b) between classes, enough of them that every link's ends are connected."""
     heads = rows.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").where(F.col("n") * (100 - percent) >= percent).dropDuplicates(["doc_id"])
     short = F.greatest(F.size("sketch") - RUN + 1, F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), short), lambda i: F.xxhash64(F.slice(F.col("sketch"), i, RUN)))
-    keyed = heads.select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
+    run = lambda i: F.xxhash64(F.slice(F.col("sketch"), i, RUN))
+    runs = F.transform(F.sequence(F.lit(1), short), lambda i: F.struct(run(i).alias("key"), F.when(i > 1, run(F.greatest(i - 1, F.lit(1)))).alias("before")))
+    keyed = heads.select("doc_id", F.inline(runs))
     rank = F.struct(F.xxhash64("doc_id").alias("r"), F.col("doc_id").alias("leader"))
     leaders = keyed.groupBy("key").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("length")).where("length > 1").select("key", F.col("first.leader").alias("leader"))
     listed = stored(keyed.join(leaders, "key"), "lists")
@@ -178,18 +187,49 @@ def _links(texts: DataFrame, rows: DataFrame, classes: DataFrame, width: int, pe
 
     # two rounds join most of what belongs together; equal labels always do
     joined = contracted(first, 2)
-    label = joined.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("l"))
-    labelled = marks.join(label, "doc_id", "left").withColumn("l", F.coalesce("l", "doc_id"))
-    members = listed.select("doc_id", "key").join(labelled, "doc_id")
-    mixed = members.groupBy("key").agg(F.min("l").alias("least"), F.max("l").alias("most"), F.count(F.lit(1)).alias("length")).where("least <> most AND length > 2").select("key")
-    members = stored(members.join(mixed, "key", "left_semi"), "members")
+    apart = stored(_apart(listed, joined), "apart")
+    if apart.where(F.col("length") > LONG).limit(1).count():
+        more = _verified(_with_leaders(apart, _labelled(marks, joined), percent), sets, percent)
+        joined = contracted(joined.unionByName(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))), 3)
+        apart = _apart(apart, joined)
+    members = stored(apart.join(_labelled(marks, joined), "doc_id"), "members")
     x, y = members.alias("x"), members.alias("y")
-    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.l") != F.col("y.l")) & _may_link(percent, "x", "y"))
+    begins = ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
+    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.l") != F.col("y.l")) & begins & _may_link(percent, "x", "y"))
     crossed = crossed.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.l").alias("la"), F.col("y.l").alias("lb")).distinct()
     between = _verified(crossed, sets, percent).select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct()
     return stored(between, "links").unionByName(joined)
 
 
+def _labelled(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """``docs`` with l, a node that contracted edges connect the document with; itself if there is none."""
+    label = joined.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("l"))
+    return docs.join(label, "doc_id", "left").withColumn("l", F.coalesce("l", "doc_id"))
+
+
+def _apart(listed: DataFrame, joined: DataFrame) -> DataFrame:
+    """(doc_id, key, before, length) of the lists that hold several labels. Of two members, one led the other before."""
+    labels = _labelled(listed.select("doc_id", "key"), joined)
+    mixed = labels.groupBy("key").agg(F.min("l").alias("least"), F.max("l").alias("most"), F.count(F.lit(1)).alias("length")).where("least <> most AND length > 2").select("key", "length")
+    return listed.select("doc_id", "key", "before").join(mixed, "key")
+
+
+def _with_leaders(apart: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, la, lb) that may link, of members of long lists and leaders with other labels.
+
+    A document takes part in its longest list and in that of its smallest key, which similar documents mostly share.
+    """
+    long = apart.where(F.col("length") > LONG)
+    chosen = long.groupBy("doc_id").agg(F.max(F.struct("length", "key")).alias("longest"), F.min("key").alias("least"))
+    chosen = chosen.select("doc_id", F.explode(F.array_distinct(F.array("longest.key", "least"))).alias("key"))
+    own = stored(chosen.join(labelled, "doc_id"), "long")
+    share = F.pmod(F.xxhash64("doc_id", "key"), F.lit(LEADERS)).alias("share")
+    first = own.groupBy("key", share).agg(F.min(F.struct(F.xxhash64("doc_id").alias("r"), "doc_id", "l", *_MARKS)).alias("first"))
+    x, y = own.alias("x"), first.select("key", "first.*").alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") != F.col("y.doc_id")) & (F.col("x.l") != F.col("y.l")) & _may_link(percent, "x", "y"))
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.l").alias("la"), F.col("y.l").alias("lb")).distinct()
+
+
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, one of each component, with all their columns."""
     return without(docs, near_duplicates(docs, **options).where("NOT kept"))
