@@ -3,8 +3,9 @@
 A document's set is its distinct word shingles, each hashed to 64 bits; its sketch is the ``SKETCH`` smallest. Equal
 sets become one class at once. Two sets with a Jaccard similarity of at least the threshold share nearly all retained
 values, so the inverted lists are kept over runs of ``RUN`` consecutive retained values: such sets share a run almost
-surely (missing one has a chance below 1e-8 at a similarity of 0.85, and none at all for sets of up to SKETCH values),
-while a passage that many documents share rarely fills a run.
+surely (missing one has a chance below 1e-8 at a similarity of 0.85), while a passage that many documents share rarely
+fills a run. Small sets that could miss each other are listed by shorter runs too (at 0.8 those of 4 and 5 values, by
+runs of two), so that of sets of up to SKETCH values no pair is missed at any threshold.
 
 Long lists are never expanded into all pairs:
 
@@ -165,13 +166,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
+def _shorter_runs(percent: int) -> dict[int, list[int]]:
+    """The sizes of the sets that need runs of fewer than RUN values, by the length of the run.
+
+    Of ``common`` values that ``other`` ones cut into at most other + 1 parts, the largest part has at least
+    (common - 1) // (other + 1) + 1; a run of that length is shared wherever the others lie.
+    """
+    sizes: dict[int, set[int]] = {}
+    for common in range(1, SKETCH + 1):
+        for other in range(1, SKETCH + 1):
+            length = (common - 1) // (other + 1) + 1
+            if 100 * common >= percent * (common + other) and length < RUN:
+                sizes.setdefault(length, set()).update(range(common, min(common + other, SKETCH) + 1))
+    return {length: sorted(found) for length, found in sizes.items()}
+
+
+def _keyed(heads: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, key, before) of every run of (doc_id, n, sketch): its hash and that of the run one value earlier."""
+
+    def runs(length: int) -> Column:
+        last = F.greatest(F.size("sketch") - length + 1, F.lit(1))
+        run = lambda i: F.xxhash64(F.slice(F.col("sketch"), i, length))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(run(i).alias("key"), F.when(i > 1, run(F.greatest(i - 1, F.lit(1)))).alias("before")))
+
+    every = runs(RUN)
+    for length, sizes in _shorter_runs(percent).items():
+        every = F.when(F.col("n").isin(sizes), F.concat(every, runs(length))).otherwise(every)
+    return heads.select("doc_id", F.inline(every))
+
+
 def _links(texts: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, enough of them that every link's ends are connected."""
     heads = rows.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").where(F.col("n") * (100 - percent) >= percent).dropDuplicates(["doc_id"])
-    short = F.greatest(F.size("sketch") - RUN + 1, F.lit(1))
-    run = lambda i: F.xxhash64(F.slice(F.col("sketch"), i, RUN))
-    runs = F.transform(F.sequence(F.lit(1), short), lambda i: F.struct(run(i).alias("key"), F.when(i > 1, run(F.greatest(i - 1, F.lit(1)))).alias("before")))
-    keyed = heads.select("doc_id", F.inline(runs))
+    keyed = _keyed(heads, percent)
     rank = F.struct(F.xxhash64("doc_id").alias("r"), F.col("doc_id").alias("leader"))
     leaders = keyed.groupBy("key").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("length")).where("length > 1").select("key", F.col("first.leader").alias("leader"))
     listed = stored(keyed.join(leaders, "key"), "lists")

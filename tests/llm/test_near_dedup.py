@@ -93,3 +93,27 @@ def test_drop_keeps_columns(documents):
     kept = near_dedup.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("percent", [50, 66, 75, 80, 85])
+def test_small_sets_that_link_share_a_run(spark, percent):
+    # every pair of sets over nine values, so wherever the values that only one of them has may lie
+    sets = {mask: [v for v in range(9) if mask >> v & 1] for mask in range(1, 512)}
+    heads = spark.createDataFrame([(m, len(v), v) for m, v in sets.items()], "doc_id long, n long, sketch array<long>")
+    keys = {m: set() for m in sets}
+    for r in near_dedup._keyed(heads, percent).collect():
+        keys[r.doc_id].add(r.key)
+    linked = [(a, b) for a in sets for b in range(1, a) if 100 * (a & b).bit_count() >= percent * (a | b).bit_count()]
+    assert linked
+    assert not [p for p in linked if not keys[p[0]] & keys[p[1]]]
+
+
+def test_eight_words_and_one_more(documents):
+    own = random.Random(4)
+    rows = []
+    for i in range(0, 240, 2):
+        words = [f"{own.choice(VOCABULARY)}{i}" for _ in range(9)]
+        rows += [(i, " ".join(words[:8])), (i + 1, " ".join(words if i % 4 else words[8:] + words[:8]))]
+    got = near_dedup.near_duplicates(documents(rows), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 5, 80)
+    assert sum(r.kept for r in got) == 120
