@@ -1,9 +1,11 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Windows of 1 to 3 bytes, A-Z as a-z, are hashed into ``BUCKETS`` buckets. Document frequencies come from all documents
-that may be learned from; the weights from at most ``TRAIN_ROWS`` of them, by follow-the-regularised-leader with
-per-coordinate rates and an elastic net, which leaves most weights at exactly zero. A fifth of the sample sets the
-temperature that makes the winning probability a calibrated score.
+that may be learned from; the weights from a sample of them, by follow-the-regularised-leader with per-coordinate rates
+and an elastic net, which leaves most weights at exactly zero. The sample is drawn by language, at most an even share of
+``TRAIN_ROWS`` (``LEAST_ROWS`` if that is more) each, so every language there is can be learned, however rare. A fifth of
+each language's sample sets the temperature that makes the winning probability a calibrated score; it counts every
+language by its share of the corpus.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import read_table, stored
@@ -20,8 +22,10 @@ from .textvec import buffers, ngrams
 
 BUCKETS = 4096
 WIDTHS = (1, 2, 3)
-#: Labelled documents that the weights are fitted on, at most; those with the smallest hashed identifiers.
+#: Labelled documents that the weights are fitted on, dealt evenly to the languages; of each, those with the smallest
+#: hashed identifiers. With many languages each still has LEAST_ROWS.
 TRAIN_ROWS = 4000
+LEAST_ROWS = 20
 ROWS_AT_ONCE = 256
 ALPHA, BETA, L1, L2, EPOCHS, STEP = 0.3, 1.0, 0.1, 0.5, 4, 32
 UNKNOWN = "und"
@@ -110,9 +114,9 @@ def ftrl(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 0) -> np.ndarra
     return leader()
 
 
-def temperature_of(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of the smallest log loss, by golden-section search on its logarithm."""
-    loss = lambda t: -np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(y)), y], 1e-12)).mean()
+def temperature_of(logits: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The temperature of the smallest (weighted) log loss, by golden-section search on its logarithm."""
+    loss = lambda t: -np.average(np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(y)), y], 1e-12)), weights=weight)
     a, b, ratio = -3.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):
         c, d = b - ratio * (b - a), a + ratio * (b - a)
@@ -138,24 +142,41 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
+def sampled(labelled: DataFrame, train_rows: int) -> tuple[DataFrame, dict[str, int]]:
+    """(doc_id, lang) to learn from, stored, and the rows of every language.
+
+    No language is sorted as a whole: only hashes up to a cut that about twice the share lies below are ranked.
+    """
+    hashed = labelled.where("doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    found = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()
+    share = max(train_rows // max(len(found), 1), min(LEAST_ROWS, train_rows))
+    cut = lambda r: max(r.least, -(2**63) + min(2**64 * (2 * share + 100) // r.n, 2**64) - 1)
+    cuts = labelled.sparkSession.createDataFrame([(r.lang, cut(r)) for r in found], "lang string, cut long")
+    few = hashed.join(F.broadcast(cuts), "lang").where("h <= cut").select("doc_id", "lang", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return stored(few.withColumn("rank", rank).where(F.col("rank") <= share).select("doc_id", "lang"), "chosen"), {r.lang: r.n for r in found}
+
+
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     """Learns from (doc_id, text, lang) rows with a language; None if there are none."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "lang").limit(train_rows)
-    chosen = stored(chosen, "chosen")
-    ids = F.broadcast(chosen.select("doc_id").distinct())
-    sample = labelled.join(ids, "doc_id", "left_semi").select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    chosen, sizes = sampled(labelled, train_rows)
+    one = ["doc_id", "lang"]
+    sample = labelled.join(F.broadcast(chosen), one, "left_semi").select("doc_id", "text", "lang").dropDuplicates(one).toArrow().sort_by([(c, "ascending") for c in one])
     if not sample.num_rows:
         return None
     seen, rows = document_frequencies(labelled)
     idf = np.log((1 + rows) / (1 + seen)) + 1
-    langs = sorted(set(sample.column("lang").to_pylist()))
+    langs = sorted(sizes)
     y = np.array([langs.index(v) for v in sample.column("lang").to_pylist()])
     x = np.vstack([weighed(counts(data, offsets), idf) for _, data, offsets in _chunks(sample.column("text").combine_chunks())])
-    last = np.arange(len(y)) % 5 == 4
+    last = np.zeros(len(y), bool)
+    for k in range(len(langs)):
+        last[np.flatnonzero(y == k)[4::5]] = True
     model = Model(langs, idf, ftrl(x[~last], y[~last], len(langs)).astype(np.float32))
     if last.any():
-        model.temperature = temperature_of(model.logits(x[last]), y[last])
+        held = np.bincount(y[last], minlength=len(langs))
+        model.temperature = temperature_of(model.logits(x[last]), y[last], np.array([sizes[v] for v in langs])[y[last]] / held[y[last]])
     return model
 
 

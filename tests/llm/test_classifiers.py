@@ -85,6 +85,26 @@ def test_language_learns_nothing_from_held_out_rows(documents, spoken):
     assert key(docs) == key(swapped)
 
 
+def test_a_rare_language_is_learned_and_found(documents):
+    rows = [(i, prose("xa" if i % 3 else "xb", 40), "xa" if i % 3 else "xb") for i in range(1500)] + [(5000 + i, prose("xc", 40), "xc") for i in range(15)]
+    docs = documents(rows)
+    assert language.train(docs.where(~language.held_out()), 40).langs == ["xa", "xb", "xc"]
+    got = [(r.lang_pred, "xc" if r.doc_id >= 5000 else "other") for r in language.identify(docs, 40).collect() if r.held_out]
+    assert sum(want == "xc" for _, want in got) > 2
+    assert all((pred == "xc") == (want == "xc") for pred, want in got)
+
+
+def test_languages_are_sampled_evenly_by_smallest_hash(documents):
+    docs = documents([(i, "a", ("xa", "xb")[i % 10 == 0]) for i in range(3000)] + [(9000, "a", "xc"), (9000, "a", "xc")])
+    chosen, sizes = language.sampled(docs, 90)
+    want = {}
+    for r in docs.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct().collect():
+        want.setdefault(r.lang, []).append((r.h, r.doc_id))
+    assert sorted((r.lang, r.doc_id) for r in chosen.collect()) == sorted((lang, i) for lang, v in want.items() for _, i in sorted(v)[:30])
+    assert sizes == {"xa": 2700, "xb": 300, "xc": 2}
+    assert language.sampled(docs, 3)[0].count() == 7
+
+
 def test_language_without_anything_to_learn(documents):
     assert [r.lang_pred for r in language.identify(documents([(1, "abc", None)])).collect()] == ["und"]
     assert language.identify(documents([])).count() == 0
