@@ -8,12 +8,14 @@ says and a surname, both in the script of the original.
 
 Distinct entities stay distinct: the table of all of them is searched for equal replacements and for replacements that
 are originals elsewhere. Of equal ones the smallest entity keeps its own, the others draw again with the next attempt,
-until nothing collides. Only entities that drew again need their attempt looked up; all others are replaced in place.
+until nothing collides. Where the space of a shape is so dense that MOST_ATTEMPTS rounds leave some over (phone numbers of
+five digits), these get the unused values of their shape, one each, in keyed order; if there are too few, that is an
+error. Only entities that drew again need their attempt looked up; all others are replaced in place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import read_table, small_enough, stored, text_or_empty
@@ -80,8 +82,11 @@ def _shaped(text: Column, draw: Column) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
-def _renumbered(text: Column, draw: Column, checked: bool) -> Column:
-    """Keyed digits in the formatting of ``text``; with a Luhn check digit if ``checked``."""
+def _renumbered(text: Column, draw: Column, attempt: Column, checked: bool) -> Column:
+    """Keyed digits in the formatting of ``text``; with a Luhn check digit if ``checked``.
+
+    A negative attempt names a value: -1 is the number 0.
+    """
     digits = F.regexp_replace(text, "[^0-9]", "")
     places = F.sequence(F.lit(1), F.length(digits))
     fresh = F.transform(places, lambda i: _byte(draw, i) % 10)
@@ -90,6 +95,9 @@ def _renumbered(text: Column, draw: Column, checked: bool) -> Column:
         doubled = F.transform(F.reverse(head), lambda d, i: F.when(i % 2 == 0, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d))
         total = F.aggregate(doubled, F.lit(0).cast("long"), lambda s, d: s + d)
         fresh = F.concat(head, F.array((10 - total % 10) % 10))
+    else:
+        named = F.lpad((-1 - attempt).cast("string"), F.length(digits), F.lit("0"))
+        fresh = F.when(attempt < 0, F.transform(F.split(named, ""), lambda d: d.cast("long"))).otherwise(fresh)
     # every character with the number of digits up to it
     chars = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.struct(F.substr(text, i, F.lit(1)).alias("c"), F.length(F.regexp_replace(F.substr(text, F.lit(1), i), "[^0-9]", "")).alias("n")))
     return F.array_join(F.transform(chars, lambda x: F.when(x["c"].rlike("[0-9]"), F.element_at(fresh, x["n"]).cast("string")).otherwise(x["c"])), "")
@@ -112,35 +120,96 @@ def _named(match: Column, attempt: Column, key: str) -> Column:
     return F.concat_ws(" ", address, F.when(F.size(words) > 1, given), surname)
 
 
+def _address(n: Column) -> Column:
+    """The n-th IPv4 address of octets from 1 to 254."""
+    return F.concat_ws(".", *((F.floor(n / F.lit(254**i)) % 254 + 1).cast("string") for i in (3, 2, 1, 0)))
+
+
 def surrogate(match: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement of a mention, in its own formatting."""
     draw = _bytes(match, attempt, key)
     local = F.substring_index(match, "@", 1)
     kind = entity_type(match)
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_byte(draw, i * 7) % 254 + 1).cast("string")), ".")
+    octets = F.when(attempt < 0, _address(-1 - attempt)).otherwise(octets)
     return (
         F.when(kind == "email", F.concat(_shaped(local, draw), F.lit("@"), _shaped(F.lit("aaaaaaaa"), _bytes(match, attempt, key, "host")), F.lit(".example")))
         .when(kind == "ip", octets)
-        .when(kind == "card", _renumbered(match, draw, True))
-        .when(kind.isin("ssn", "phone"), _renumbered(match, draw, False))
+        .when(kind == "card", _renumbered(match, draw, attempt, True))
+        .when(kind.isin("ssn", "phone"), _renumbered(match, draw, attempt, False))
         .otherwise(_named(match, attempt, key))
     )
 
 
-def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(normal, attempt) of the entities whose first replacement is taken; ``entities`` has normal and mention, one row each."""
-    originals = entities.select(F.col("normal").alias("fresh"), F.lit(True).alias("_known"))
-    now = entities.withColumn("attempt", F.lit(0))
+def _colliding(drawn: DataFrame, originals: DataFrame) -> DataFrame:
+    """(normal) of the rows of (normal, attempt, fresh) whose replacement is an original or another row's."""
+    # the entity that keeps a replacement: an earlier one if any, else the smallest
+    taken = drawn.groupBy("fresh").agg(F.min(F.struct("attempt", "normal")).alias("first"), F.count(F.lit(1)).alias("n"))
+    bad = drawn.join(taken.where("n > 1"), "fresh").where("normal <> first.normal").select("normal")
+    return stored(bad.unionByName(drawn.join(originals, "fresh", "left_semi").select("normal")).distinct(), "colliding")
+
+
+def _settled(now: DataFrame, fresh: Column, originals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``now`` with fresh and the attempt it comes from, and (normal) of what MOST_ATTEMPTS draws leave colliding."""
+    drawn = stored(now.withColumn("fresh", fresh), "drawn")
     for _ in range(MOST_ATTEMPTS):
-        drawn = stored(now.withColumn("fresh", normal_form(surrogate(F.col("mention"), F.col("attempt"), key))), "drawn")
-        # the entity that keeps a replacement: an earlier one if any, else the smallest
-        taken = drawn.groupBy("fresh").agg(F.min(F.struct("attempt", "normal")).alias("first"), F.count(F.lit(1)).alias("n"))
-        bad = drawn.join(taken.where("n > 1"), "fresh").where("normal <> first.normal").select("normal")
-        bad = stored(bad.unionByName(drawn.join(originals, "fresh").select("normal")).distinct(), "colliding")
+        bad = _colliding(drawn, originals)
         if not bad.limit(1).count():
             break
-        now = drawn.drop("fresh").join(bad.withColumn("_again", F.lit(1)), "normal", "left").withColumn("attempt", F.col("attempt") + F.coalesce("_again", F.lit(0))).drop("_again")
-    return drawn.where("attempt > 0").select("normal", "attempt")
+        again = drawn.join(bad, "normal", "left_semi").withColumn("attempt", F.col("attempt") + 1).withColumn("fresh", fresh)
+        drawn = stored(drawn.join(bad, "normal", "left_anti").unionByName(again.select(drawn.columns)), "drawn")
+    else:
+        bad = _colliding(drawn, originals)
+    return drawn, bad
+
+
+def _ranked(values: DataFrame, key: str) -> DataFrame:
+    """``values`` with rank, from 1 in the keyed order of normal; ranks are counted in 4096 parts."""
+    mixed = F.sha2(F.concat_ws("|", F.lit(key + "rank"), "normal"), 256)
+    rows = stored(values.withColumn("mixed", mixed).withColumn("part", F.substring("mixed", 1, 3)), "ranked")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("mixed", "normal"))
+    return rows.join(F.broadcast(sizes), "part").withColumn("rank", own + F.col("before")).drop("mixed", "part", "before")
+
+
+def _assigned(drawn: DataFrame, bad: DataFrame, originals: DataFrame, key: str) -> DataFrame:
+    """(normal, attempt) of the entities of ``bad``: unused values of their shape, by negative attempts.
+
+    Draws leave something over only where about a third of a shape's values are taken, so listing all is in proportion.
+    """
+    kind = entity_type(F.col("mention"))
+    shape = F.when(kind == "ip", "ip").when(kind.isin("ssn", "phone"), F.regexp_replace("normal", "[0-9]", "0")).otherwise(kind)
+    left = stored(drawn.join(bad, "normal", "left_semi").select("normal", shape.alias("shape")), "left")
+    used = drawn.join(bad, "normal", "left_anti").select("fresh").unionByName(originals)
+    found = None
+    for r in left.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).orderBy("shape").collect():
+        digits = r["shape"].count("0")
+        if r["shape"] != "ip" and not 0 < digits <= 18:
+            raise ValueError(f"{r.n} entities of the type {r['shape']} collide after {MOST_ATTEMPTS} draws")
+        spark = drawn.sparkSession
+        if r["shape"] == "ip":
+            values = spark.range(254**4).withColumn("fresh", _address(F.col("id")))
+        else:
+            values = spark.range(10**digits).withColumn("fresh", F.concat(F.lit(r["shape"].rstrip("0")), F.lpad(F.col("id").cast("string"), digits, "0")))
+        free = _ranked(values.join(used, "fresh", "left_anti").select("id", F.col("fresh").alias("normal")), key)
+        own = _ranked(left.where(F.col("shape") == r["shape"]).select("normal"), key)
+        dealt = stored(own.join(free.select("id", "rank"), "rank").select("normal", (-1 - F.col("id")).alias("attempt")), "dealt")
+        if dealt.count() < r.n:
+            raise ValueError(f"{r.n} entities of the shape {r['shape']} have only {dealt.count()} unused values left")
+        found = dealt if found is None else found.unionByName(dealt)
+    return found
+
+
+def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """(normal, attempt) of the entities whose first replacement is taken; ``entities`` has normal and mention, one row each."""
+    originals = entities.select(F.col("normal").alias("fresh"))
+    now = entities.withColumn("attempt", F.lit(0).cast("long"))
+    drawn, bad = _settled(now, normal_form(surrogate(F.col("mention"), F.col("attempt"), key)), originals)
+    again = drawn.where("attempt > 0").select("normal", "attempt")
+    if bad.limit(1).count():
+        again = again.join(bad, "normal", "left_anti").unionByName(_assigned(drawn, bad, originals, key))
+    return again
 
 
 def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,8 +230,8 @@ def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
         own = each.join(small_enough(again), "normal").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("normal", "attempt"))).alias("redrawn"))
         found = found.join(own, "row", "left")
     else:
-        found = found.withColumn("redrawn", F.lit(None).cast("map<string,int>"))
-    attempt = lambda m: F.coalesce(F.try_element_at(F.col("redrawn"), normal_form(m)), F.lit(0))
+        found = found.withColumn("redrawn", F.lit(None).cast("map<string,bigint>"))
+    attempt = lambda m: F.coalesce(F.try_element_at(F.col("redrawn"), normal_form(m)), F.lit(0).cast("long"))
     fresh = F.transform("mentions", lambda m: surrogate(m, attempt(m), key))
     gaps = F.split("text", PATTERN, -1)
     woven = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("mentions")), fresh, lambda g, s: F.concat(g, s)), ""), F.element_at(gaps, -1))

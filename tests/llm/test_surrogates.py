@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from attesta.llm import surrogates
@@ -64,3 +65,26 @@ def test_collisions_draw_again(documents, monkeypatch):
             assert seen.setdefault(old, new) == new
     assert len(set(seen.values())) == len(seen) == 60
     assert not set(seen.values()) & set(seen)
+
+
+def numbered(spark, n):
+    """Entities with the shortest phone numbers, of which there are 100,000."""
+    return spark.range(n).select(F.format_string("+%05d", "id").alias("normal"), F.concat(F.lit("+"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("mention"))
+
+
+def test_a_dense_space_is_dealt_out_exactly(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "MOST_ATTEMPTS", 1)
+    entities = numbered(spark, 45000)
+    again = surrogates.attempts(entities)
+    attempt = F.coalesce("attempt", F.lit(0).cast("long"))
+    rows = entities.join(again, "normal", "left").select("normal", surrogates.surrogate(F.col("mention"), attempt).alias("fresh")).collect()
+    fresh = {r.fresh for r in rows}
+    assert len(rows) == len(fresh) == 45000
+    assert all(re.fullmatch(r"\+[0-9]{5}", f) for f in fresh)
+    assert not fresh & {r.normal for r in rows}
+
+
+def test_a_full_space_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "MOST_ATTEMPTS", 1)
+    with pytest.raises(ValueError, match="unused values"):
+        surrogates.attempts(numbered(spark, 55000))
