@@ -6,6 +6,9 @@ the rest), so every mention of an entity gets the same one in its own formatting
 valid check digit, addresses their shape; a name keeps its form of address and gets a first name of the gender that this
 says and a surname, both in the script of the original.
 
+Surnames are settled first, in a table of their own: distinct ones stay distinct and none is an original, so a person
+named with and without the first name keeps one surname. A full name that collides draws only its first name again.
+
 Distinct entities stay distinct: the table of all of them is searched for equal replacements and for replacements that
 are originals elsewhere. Of equal ones the smallest entity keeps its own, the others draw again with the next attempt,
 until nothing collides. Where the space of a shape is so dense that MOST_ATTEMPTS rounds leave some over (phone numbers of
@@ -22,6 +25,8 @@ from .store import read_table, small_enough, stored, text_or_empty
 
 KEY = "surrogate-key-1"
 MOST_ATTEMPTS = 50
+#: A name's attempt holds that of its surname, times this, and that of its first name.
+SURNAMES = 1000
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
@@ -103,21 +108,37 @@ def _renumbered(text: Column, draw: Column, attempt: Column, checked: bool) -> C
     return F.array_join(F.transform(chars, lambda x: F.when(x["c"].rlike("[0-9]"), F.element_at(fresh, x["n"]).cast("string")).otherwise(x["c"])), "")
 
 
+def _syllables(draw: Column, count: Column, script: str, place: int) -> Column:
+    """So many keyed syllables, of bytes five places apart; at most 12."""
+    pick = lambda i: F.element_at(F.array(*map(F.lit, _SYLLABLES[script])), (_byte(draw, i * 5 + place) % 32 + 1).cast("int"))
+    return F.array_join(F.transform(F.sequence(F.lit(1), count), pick), "")
+
+
+def _of_word(word: Column, attempt: Column, key: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lower(word), attempt.cast("string")), 512)
+
+
+def _surname(word: Column, attempt: Column, key: str) -> Column:
+    """A surname in the script of the word, by the word and its attempt alone; one syllable more each attempt."""
+    draw, count = _of_word(word, attempt, key + "last"), F.least(attempt + 4, F.lit(12)).cast("int")
+    return F.initcap(F.when(word.rlike(r"\p{IsCyrillic}"), _syllables(draw, count, "cyrillic", 0)).otherwise(_syllables(draw, count, "latin", 0)))
+
+
 def _named(match: Column, attempt: Column, key: str) -> Column:
-    """Form of address, first name by its gender, surname; the surname depends on the surname alone, so that a person
-    named with and without the first name keeps it."""
+    """Form of address, first name by its gender, surname; the surname depends on the surname and its own attempt alone,
+    so that a person named with and without the first name keeps it. First names drawn again are longer."""
     address = F.regexp_extract(match, f"^{_ADDRESS}", 0)
     words = F.split(F.trim(F.substr(match, F.length(address) + 1)), " ")
-    cyrillic = F.element_at(words, -1).rlike(r"\p{IsCyrillic}")
+    family = F.element_at(words, -1)
+    cyrillic = family.rlike(r"\p{IsCyrillic}")
     title = F.regexp_replace(address, r"\.", "")
-    of = lambda word, salt: F.sha2(F.concat_ws("|", F.lit(key + salt), F.lower(word), attempt.cast("string")), 512)
-    first, last = of(F.element_at(words, 1), "first"), of(F.element_at(words, -1), "last")
+    own = attempt % SURNAMES
+    first = _of_word(F.element_at(words, 1), own, key + "first")
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (_byte(first, F.lit(1)) % len(names) + 1).cast("int"))
     by_gender = lambda s: F.when(title.isin(*_MALE), pick(_FIRST[s, "m"])).when(title.isin(*_FEMALE), pick(_FIRST[s, "f"])).otherwise(pick(_FIRST[s, "m"] + _FIRST[s, "f"]))
-    part = lambda s: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(F.array(*map(F.lit, _SYLLABLES[s])), (_byte(last, i * 5) % 32 + 1).cast("int"))), "")
-    surname = F.initcap(F.when(cyrillic, part("cyrillic")).otherwise(part("latin")))
-    given = F.when(cyrillic, by_gender("cyrillic")).otherwise(by_gender("latin"))
-    return F.concat_ws(" ", address, F.when(F.size(words) > 1, given), surname)
+    longer = lambda s: F.when(own > 0, _syllables(first, F.least(own, F.lit(10)).cast("int"), s, 1)).otherwise("")
+    given = F.when(cyrillic, F.concat(by_gender("cyrillic"), longer("cyrillic"))).otherwise(F.concat(by_gender("latin"), longer("latin")))
+    return F.concat_ws(" ", address, F.when(F.size(words) > 1, given), _surname(family, F.floor(attempt / SURNAMES), key))
 
 
 def _address(n: Column) -> Column:
@@ -204,7 +225,14 @@ def _assigned(drawn: DataFrame, bad: DataFrame, originals: DataFrame, key: str)
 def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(normal, attempt) of the entities whose first replacement is taken; ``entities`` has normal and mention, one row each."""
     originals = entities.select(F.col("normal").alias("fresh"))
-    now = entities.withColumn("attempt", F.lit(0).cast("long"))
+    surname = F.when(entity_type(F.col("mention")) == "name", F.substring_index("normal", " ", -1))
+    surnames = entities.select(surname.alias("normal")).where("normal IS NOT NULL").distinct()
+    surnames = stored(surnames.withColumn("attempt", F.lit(0).cast("long")), "surnames")
+    family, bad = _settled(surnames, F.lower(_surname(F.col("normal"), F.col("attempt"), key)), surnames.select(F.col("normal").alias("fresh")))
+    if bad.limit(1).count():
+        raise ValueError(f"{bad.count()} surnames collide after {MOST_ATTEMPTS} draws")
+    redrawn = small_enough(stored(family.where("attempt > 0").select(F.col("normal").alias("surname"), (F.col("attempt") * SURNAMES).alias("attempt")), "redrawn"))
+    now = entities.withColumn("surname", surname).join(redrawn, "surname", "left").select("normal", "mention", F.coalesce("attempt", F.lit(0).cast("long")).alias("attempt"))
     drawn, bad = _settled(now, normal_form(surrogate(F.col("mention"), F.col("attempt"), key)), originals)
     again = drawn.where("attempt > 0").select("normal", "attempt")
     if bad.limit(1).count():

@@ -88,3 +88,29 @@ def test_a_full_space_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "MOST_ATTEMPTS", 1)
     with pytest.raises(ValueError, match="unused values"):
         surrogates.attempts(numbered(spark, 55000))
+
+
+def test_many_first_names_keep_one_surname(documents):
+    # 40 men and 40 women of one surname, more than there are first names, and the same in Cyrillic
+    names = ["".join(chr(97 + (i * 7 + j * 5) % 26) for j in range(5)).title() + "xyz"[i // 26] for i in range(40)]
+    rows = [(2 * i, f"Mr {n} Smith, Mr Smith, Mrs {n} Smith") for i, n in enumerate(names)]
+    rows += [(2 * i + 1, f"г-н И{'абвгд'[i % 5]}{'клмн'[i // 5]} Петров и г-н Петров") for i in range(20)]
+    got = replaced(documents, rows)
+    latin = [re.findall(r"(Mrs?)( [A-Z][a-z]+)? ([A-Z][a-z]+)", got[2 * i][1]) for i in range(40)]
+    assert len({s for row in latin for _, _, s in row}) == 1
+    assert len({row[0][1] for row in latin}) == len({row[2][1] for row in latin}) == 40
+    assert all(row[0][1].strip().startswith(tuple(surrogates._FIRST["latin", "m"])) and row[2][1].strip().startswith(tuple(surrogates._FIRST["latin", "f"])) for row in latin)
+    russian = [re.findall(r"г-н( \w+)? (\w+)", got[2 * i + 1][1].replace(" и ", " | ")) for i in range(20)]
+    assert len({s for row in russian for _, s in row}) == 1
+    assert len({row[0][0] for row in russian}) == 20
+
+
+def test_surnames_that_collide_draw_again_alike(documents, monkeypatch):
+    # one syllable to begin with: 40 surnames for 32 values
+    real = surrogates._syllables
+    monkeypatch.setattr(surrogates, "_syllables", lambda draw, count, script, place: real(draw, F.greatest(count - 3, F.lit(1)), script, place))
+    names = [f"{a}{b}li" for a in "BCDFGHKL" for b in "aeiou"]
+    got = replaced(documents, [(i, f"Mr Otto {n}. Mr {n}. Frau {n}.") for i, n in enumerate(names)])
+    fresh = [re.findall(r"(\w+)\.", got[i][1]) for i in range(40)]
+    assert all(len(f) == 3 and len(set(f)) == 1 for f in fresh)
+    assert len({f[0] for f in fresh}) == 40
