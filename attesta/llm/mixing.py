@@ -15,12 +15,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import read_table, stored, text_or_empty
+from .store import attach_groups, read_table, stored, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 BINS = 4096
 SEED = "mix-1"
+#: Sources whose plans (about 100 bytes each) are broadcast.
+BROADCAST_SOURCES = 20_000
+
+
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def word_count(column: str = "text") -> Column:
@@ -28,10 +33,12 @@ def word_count(column: str = "text") -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, order, bin): size in words, and the place of the document in its source's seeded order."""
+def _measured(docs: DataFrame, row: Column, seed: str = SEED) -> DataFrame:
+    """``row`` of every document with its source (missing, name), its size in words, and its place in the seeded order."""
     order = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
-    return docs.select("doc_id", "source", word_count().alias("size"), order.alias("order")).withColumn("bin", F.floor(F.col("order") / (2**60 // BINS)).cast("int"))
+    source = F.col("source").cast("string")
+    named = docs.select(row.alias("row"), source.isNull().alias("missing"), F.coalesce(source, F.lit("")).alias("name"), F.col("text").rlike(WORD).alias("some"), word_count().alias("size"), order.alias("order"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
+    return named.withColumn("bin", F.floor(F.col("order") / (2**60 // BINS)).cast("int"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, total: float | None = None) -> DataFrame:
@@ -54,22 +61,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EP
     )
 
 
-def repetitions(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, total: float | None = None, seed: str = SEED) -> DataFrame:
-    """Every row of ``docs`` with how often the mix takes it.
-
-    Returns doc_id, source, size, source_size, target and times (0 to ``max_epochs``). Null text and text without words
-    have size 0 and are never taken in a fraction. Null sources form one source. The order is by a hash of the
-    identifier, so reruns and other partitionings give the same mix; rows that repeat an identifier are ordered
-    together and each may be taken. No rows give no rows; other columns are ignored.
-    """
-    rows = stored(sized(docs, seed), "sized")
+def _plan(measured: DataFrame, weights, max_epochs: float, total: float | None) -> DataFrame:
+    """One row per source, written: what a document's repetitions follow from."""
     key = ["missing", "name"]
-    named = rows.withColumns({"missing": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))}).drop("source")
-    bins = stored(named.groupBy(*key, "bin").agg(F.sum("size").alias("bin_size")), "bins")
+    bins = stored(measured.groupBy(*key, "bin").agg(F.sum("size").alias("bin_size"), F.count(F.lit(1)).alias("bin_rows")), "bins")
     sizes = bins.groupBy(*key).agg(F.sum("bin_size").alias("source_size")).select(F.when(~F.col("missing"), F.col("name")).alias("source"), "source_size")
+    rows = bins.groupBy(*key).agg(F.sum("bin_rows").alias("source_rows"))
     targets = source_targets(sizes, weights, max_epochs, total).withColumns({"missing": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))}).drop("source")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    targets = targets.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = stored(targets.join(rows, key).withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
     before = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
         bins.withColumn("base", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
@@ -77,23 +77,40 @@ def repetitions(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS
         .where((F.col("base") <= F.col("left")) & (F.col("base") + F.col("bin_size") > F.col("left")))
         .select(*key, F.col("bin").alias("cut_bin"), F.col("base").alias("cut_base"))
     )
-    plan = stored(targets.join(cut, key, "left"), "targets")
-    joined = named.join(plan, key)
+    return stored(targets.join(cut, key, "left"), "plan")
+
+
+def _dealt(measured: DataFrame, plan: DataFrame, max_epochs: float) -> DataFrame:
+    """``measured`` with its source's plan and ``times``, how often the mix takes the row.
+
+    The plan is broadcast where it is counted to be small; otherwise only the plans of hot sources are.
+    """
+    key = ["missing", "name"]
+    if plan.count() <= BROADCAST_SOURCES:
+        joined = measured.join(F.broadcast(plan), key)
+    else:
+        joined = attach_groups(measured, plan, key, "source_rows", plan.agg(F.sum("source_rows")).first()[0] or 0)
     inside = joined.where(F.col("bin") == F.col("cut_bin"))
     outside = joined.where(F.col("cut_bin").isNull() | (F.col("bin") != F.col("cut_bin")))
-    order = Window.partitionBy(*key).orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*key).orderBy("order", "id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.col("cut_base") + F.coalesce(F.sum("size").over(order), F.lit(0))
     inside = inside.withColumn("extra", ((2 * reached + F.col("size") <= 2 * F.col("left")) & (F.col("size") > 0)).cast("int"))
     below = F.when(F.col("cut_bin").isNull(), F.col("left") > 0).otherwise(F.col("bin") < F.col("cut_bin"))
-    outside = outside.withColumn("extra", (below & (F.col("size") > 0)).cast("int"))
-    return outside.unionByName(inside).select(
-        "doc_id",
-        F.when(~F.col("missing"), F.col("name")).alias("source"),
-        "size",
-        "source_size",
-        "target",
-        F.least(F.col("whole") + F.col("extra"), F.lit(int(max_epochs)).cast("long")).alias("times"),
-    )
+    outside = outside.withColumn("extra", (below & F.coalesce("some", F.lit(False))).cast("int"))
+    return outside.unionByName(inside).withColumn("times", F.least(F.col("whole") + F.col("extra"), F.lit(int(max_epochs)).cast("long")))
+
+
+def repetitions(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, total: float | None = None, seed: str = SEED) -> DataFrame:
+    """Every row of ``docs`` with how often the mix takes it.
+
+    Returns doc_id, source, size, source_size, target and times (0 to ``max_epochs``). Null text and text without words
+    have size 0 and are never taken in a fraction. Null sources form one source. The order is by a hash of the
+    identifier, then of the text, so reruns and other partitionings give the same mix; rows that repeat an identifier, or
+    have none, are ordered next to each other and decided each. No rows give no rows; other columns are ignored.
+    """
+    measured = stored(_measured(docs, F.struct(F.col("doc_id")), seed), "sized")
+    dealt = _dealt(measured, _plan(measured, weights, max_epochs, total), max_epochs)
+    return dealt.select("row.doc_id", F.when(~F.col("missing"), F.col("name")).alias("source"), "size", "source_size", "target", "times")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +118,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row repeated as the mix takes it; rows taken 0 times go."""
-    times = repetitions(docs, **options).groupBy("doc_id").agg(F.max("times").alias("_times"))
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, total: float | None = None, seed: str = SEED) -> DataFrame:
+    """``docs`` with every row repeated as the mix takes it, see ``repetitions``; rows taken 0 times go.
+
+    Whole rows are carried along, so null or repeated identifiers and columns of any name come through.
+    """
+    measured = _measured(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), seed)
+    dealt = _dealt(measured, _plan(measured, weights, max_epochs, total), max_epochs)
+    return dealt.where("times > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 SQL = f"""

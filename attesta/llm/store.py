@@ -57,18 +57,31 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     return done.unionByName(rest)
 
 
-#: Identifiers are broadcast up to this number (8 bytes each), and shuffled beyond it.
-BROADCAST_IDS = 2_000_000
+#: Keys of rows are broadcast up to this number (16 bytes each), and shuffled beyond it.
+BROADCAST_IDS = 200_000
 
 
 def small_enough(ids: DataFrame) -> DataFrame:
-    """A stored table of identifiers, with a broadcast hint if its counted size allows that."""
+    """A stored table of keys, with a broadcast hint if its counted size allows that."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` but for the rows whose identifier is in ``ids``."""
-    return docs.join(small_enough(stored(ids.select(id_col).distinct(), "dropped")), id_col, "left_anti").select(docs.columns)
+def settled(docs: DataFrame, decided: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay, by (doc_id, text_key, stays) of every row.
+
+    A row is known by its identifier (null is one, too) and a hash of its text, so rows that share an identifier are told
+    apart. Rows that agree in both share their fate; if only some of them stay, or with ``once``, one does. All columns
+    of ``docs`` are kept, whatever their names.
+    """
+    fates = decided.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.min("stays").alias("all_stay"), F.count(F.lit(1)).alias("n"))
+    fates = stored(fates.where("NOT all_stay OR n > 1" if once else "NOT all_stay").select("doc_id", "text_key", "stays"), "fates")
+    d, f = docs.alias("d"), small_enough(fates).alias("f")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(F.col("d.text")) == F.col("f.text_key"))
+    rest = d.join(f, same, "left_anti")
+    some = fates.where("stays")
+    if not some.limit(1).count():
+        return rest
+    return rest.unionByName(d.join(small_enough(some).alias("f"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def text_or_empty(column: str = "text") -> Column:

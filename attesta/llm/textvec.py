@@ -139,7 +139,7 @@ def shingle_hashes(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[n
         out[target] = mix64(combined[fits])
     for i in np.flatnonzero(~long & (counts > 0)):
         w = words[starts[i] : starts[i + 1]]
-        value = (w * _SHINGLE[: len(w)]).sum(dtype=np.uint64) + _SHINGLE[8 + len(w) % 8]
+        value = np.append(w * _SHINGLE[: len(w)], _SHINGLE[8 + len(w) % 8]).sum(dtype=np.uint64)
         out[at[i]] = mix64(np.array([value], dtype=np.uint64))[0]
     return out, at
 
