@@ -8,8 +8,9 @@ noise matters. Adding standard Gumbel noise, seeded by identifier and text, and
 without replacement in proportion to their weights.
 
 How many are kept is a parameter (``k``, or ``share`` of all rows). By default it is the estimated mass of the target in
-the raw text: with labelled bad documents the sum over all documents of P(good | mean log ratio), a logistic curve fitted
-on the labelled ones; without them the sum of min(1, weight).
+the raw text: with labelled bad documents the number of good ones among all documents, by a logistic curve of the mean log
+ratio fitted on the labelled ones with balanced classes, whose prior expectation maximisation then fits to all documents;
+without them the sum of min(1, weight).
 """
 
 from __future__ import annotations
@@ -132,6 +133,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0] / scale), float(w[1] - w[0] * centre / scale)
 
 
+def prior(logits: np.ndarray, n: np.ndarray, rounds: int = 200) -> float:
+    """The share of the target among ``n`` rows by balanced logit: expectation maximisation of the prior alone."""
+    if not n.sum():
+        return 0.0
+    share = 0.5
+    for _ in range(rounds):
+        odds = np.exp(logits) * share / (1 - share)
+        share = float(np.clip((n * (odds / (1 + odds))).sum() / n.sum(), 1e-9, 1 - 1e-9))
+    return share
+
+
 def _some(ids: DataFrame, rows: int) -> DataFrame:
     return ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
@@ -144,8 +156,11 @@ def target_mass(scored: DataFrame, good: DataFrame, bad: DataFrame | None) -> in
         known = scored.where("grams > 0").join(F.broadcast(marks), "doc_id").groupBy("doc_id", "good").agg(F.min(mean).alias("mean")).orderBy("doc_id").toPandas()
         if known.good.nunique() == 2:
             slope, offset = logistic(known["mean"].to_numpy(), known.good.to_numpy(bool))
-            chance = F.when(F.col("grams") > 0, 1 / (1 + F.exp(-(mean * slope + offset)))).otherwise(1.0)
-            return round(scored.agg(F.sum(chance)).first()[0] or 0)
+            logit = F.when(F.col("grams") > 0, F.round(16 * F.greatest(F.lit(-30.0), F.least(F.lit(30.0), mean * slope + offset)))).cast("int")
+            bins = scored.groupBy(logit.alias("logit")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 962 rows
+            spoken = bins[bins.logit.notna()].sort_values("logit")
+            share = prior(spoken.logit.to_numpy(float) / 16, spoken.n.to_numpy(float))
+            return round(share * spoken.n.sum()) + int(bins.n[bins.logit.isna()].sum())
     return round(scored.agg(F.sum(F.least(F.lit(1.0), F.exp("log_weight")))).first()[0] or 0)
 
 

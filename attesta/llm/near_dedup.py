@@ -142,6 +142,8 @@ def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     star is looked up and never gathered. A round that moves nothing is the last; about log(diameter) are needed.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    if now.isEmpty():
+        return now
     done = 0
     while rounds is None or done < rounds:
         low, up, down = _lowest(now), Observation(), Observation()
@@ -207,8 +209,8 @@ def _shorter_runs(percent: int) -> dict[int, list[int]]:
     return {length: sorted(found) for length, found in sizes.items()}
 
 
-def _keyed(heads: DataFrame, percent: int) -> DataFrame:
-    """(class, key, before) of every run of (class, n, sketch): its hash and that of the run one value earlier."""
+def _keyed(heads: DataFrame, percent: int, name: str = "doc_id") -> DataFrame:
+    """(name, key, before) of every run of (name, n, sketch): its hash and that of the run one value earlier."""
 
     def runs(length: int) -> Column:
         last = F.greatest(F.size("sketch") - length + 1, F.lit(1))
@@ -218,14 +220,14 @@ def _keyed(heads: DataFrame, percent: int) -> DataFrame:
     every = runs(RUN)
     for length, sizes in _shorter_runs(percent).items():
         every = F.when(F.col("n").isin(sizes), F.concat(every, runs(length))).otherwise(every)
-    return heads.select("class", F.inline(every))
+    return heads.select(name, F.inline(every))
 
 
 def _links(texts: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, enough of them that every link's ends are connected."""
     firsts = rows.join(classes.select("class"), F.col("row") == F.col("class")).where(F.col("n") * (100 - percent) >= percent)
     heads = stored(firsts.select("class", "doc_id", "text_key", "n", "sketch", *(F.col("parity")[i].alias(f"p{i}") for i in range(WORDS))), "heads")
-    keyed = _keyed(heads, percent)
+    keyed = _keyed(heads, percent, "class")
     leaders = stored(keyed.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("length")).where("length > 1"), "leaders")
     listed = stored(keyed.join(leaders, "key"), "lists")
     starred = stored(listed.select(F.col("class").alias("a"), F.col("leader").alias("b")).where("a <> b").distinct(), "starred")
