@@ -13,7 +13,7 @@ from attesta.llm.store import read_table, stored
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling towards the documents labelled good; what it rejects goes."""
-    return importance.keep_quality(docs, importance.good_labels(spark, sf_dir))
+    return importance.keep_quality(docs, *importance.labelled(spark, sf_dir))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
