@@ -120,7 +120,7 @@ def top_k(keys: DataFrame, k: int) -> DataFrame:
     return keys.withColumn("kept", F.coalesce(F.col("key") >= line, F.lit(False)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
     """Slope and offset of P(y | x), classes balanced, by Newton's method with a small ridge on the standardised slope."""
     centre, scale = x.mean(), max(x.std(), 1e-9)
     z = np.stack([(x - centre) / scale, np.ones(len(x))], axis=1)

@@ -63,10 +63,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches, rows: int = 1024):
-    """Record batches of at most ``rows`` rows: bounds the working memory of what is computed over a batch."""
+    """Record batches of at most ``rows`` rows: bounds the working memory of what is computed over a batch.
+
+    Workers live on from task to task, so Arrow's pool gives what it no longer uses back to the system after each batch.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def _blocks(space: np.ndarray, offsets: np.ndarray):

@@ -199,7 +199,7 @@ def test_junk_is_rejected_and_good_text_kept(documents, folder, spark):
     assert not any(kept[i] for i in range(500) if i % 6 == 0)
     assert np.mean([kept[i] for i in range(500) if i % 6]) > 0.97  # a small corpus: each text weighs much in the raw model
     assert all(kept[1000 + i] for i in range(3))
-    again = {r.doc_id: r.kept for r in importance.resample(docs.repartition(5), labelled(spark, labels[:300]).where("quality = 1")).collect()}
+    again = {r.doc_id: r.kept for r in importance.resample(docs.repartition(5), *(labelled(spark, labels[:300]).where(f"quality = {q}") for q in (1, 0))).collect()}
     assert again == kept
     assert importance.keep_quality(docs, labelled(spark, labels[:300]).where("quality = 1")).columns == docs.columns
 
