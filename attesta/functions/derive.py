@@ -28,29 +28,30 @@ def source_is_missing(name: Column) -> Column:
 
 
 def classify_review(confidence: Column, missing: Column) -> Column:
+    """Null for a source without a confidence."""
     return (
         F.when(missing, "missing source")
         .when(confidence < NEEDS_EVIDENCE, "needs evidence")
         .when(confidence < CAUTION, "reviewable with caution")
-        .otherwise("reviewable")
+        .when(confidence >= CAUTION, "reviewable")
     )
 
 
 def classify_signal(change: Column, direction: Column) -> Column:
-    """From the rounded change: a move that rounds to nothing is unchanged."""
+    """From the rounded change: a move that rounds to nothing is unchanged. A move without a direction is null."""
     better = ((direction == "higher") & (change > 0)) | ((direction == "lower") & (change < 0))
-    return F.when(change.isNull(), "indeterminate").when(change == 0, "unchanged").when(direction == "neutral", "descriptive").when(better, "improving").otherwise("declining")
+    return F.when(change.isNull(), "indeterminate").when(change == 0, "unchanged").when(direction == "neutral", "descriptive").when(better, "improving").when(direction.isNotNull(), "declining")
 
 
 def classify_signal_raw(baseline: Column, current: Column, direction: Column) -> Column:
     """The SQL contract's twin: unchanged only if the values are equal."""
     better = ((direction == "higher") & (current > baseline)) | ((direction == "lower") & (current < baseline))
     return (
-        F.when(baseline.isNull() | (baseline == 0), "indeterminate")
+        F.when(baseline.isNull() | (baseline == 0) | current.isNull(), "indeterminate")
         .when(current == baseline, "unchanged")
         .when(direction == "neutral", "descriptive")
         .when(better, "improving")
-        .otherwise("declining")
+        .when(direction.isNotNull(), "declining")
     )
 
 

@@ -50,11 +50,17 @@ def quality_overall(scores: list[Column]) -> Column:
     return F.bround(sum(scores) / len(scores)).cast("int")
 
 
-def publication_gate(quality: Column, status: Column, contradicted: Column) -> tuple[Column, Column]:
-    """External, internal or blocked, and the reasons against more."""
-    reasons = F.array_compact(F.array(F.when(contradicted, "contradiction"), F.when(quality < 50, "quality below 50"), F.when(~status.isin("reviewable", "reviewable with caution"), "evidence"), F.when(quality < 70, "quality below 70")))
-    blocked = contradicted | (quality < 50)
-    return F.when(blocked, "blocked").when(F.size(reasons) == 0, "external").otherwise("internal"), F.array_join(reasons, "; ")
+def publication_gate(quality: Column, state: Column, critical: Column) -> tuple[Column, Column]:
+    """External, internal or blocked by review state, overall quality and open critical gaps; and the reasons against more."""
+    reasons = F.array_compact(
+        F.array(
+            F.when(~state.eqNullSafe(F.lit("approved")), "record has not been approved"),
+            F.when(quality < 70, "overall quality score is below 70"),
+            F.when(critical, "critical evidence gaps remain open"),
+        )
+    )
+    known = state.isin("submitted", "in-review", "changes-requested", "approved") & (quality >= 50)
+    return F.when(F.size(reasons) == 0, "external").when(known, "internal").otherwise("blocked"), F.array_join(reasons, "; ")
 
 
 def payload_diff(old: Column, new: Column) -> Column:

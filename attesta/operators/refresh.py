@@ -22,30 +22,42 @@ def refresh(previous: DataFrame, payload: DataFrame, key: str, content: str, fai
     return old.join(new, key, "full").select(key, status.alias("status"), F.coalesce("quarantined", F.lit(False)).alias("quarantined"), F.coalesce("_has", F.lit(0)).cast("boolean").alias("active"))
 
 
-def reconciliation(refreshed: DataFrame, n_duplicates: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """One row: expected, actual and what differs; drift if too large a share of the expected keys is gone."""
+def reconciliation(refreshed: DataFrame, n_duplicates: DataFrame, threshold: float = 0.25, atomic: bool = False) -> DataFrame:
+    """One row: expected, actual and what differs; drift if too large a share of the expected keys is gone.
+
+    Anything out of place is a warning; only an atomic run fails by its quarantined rows. Keys are unexpected only where
+    some were expected.
+    """
     of = lambda s: F.count_if(F.col("status") == s)
     sums = refreshed.agg(
         F.count_if(F.col("status").isin("matched", "changed", "missing")).alias("expected"), F.count_if("active").alias("actual"), of("matched").alias("matched"), of("changed").alias("changed"),
         of("missing").alias("missing"), of("unexpected").alias("unexpected"), F.count_if("quarantined").alias("quarantined"),
     ).join(n_duplicates)
+    sums = sums.withColumn("unexpected", F.when(F.col("expected") > 0, F.col("unexpected")).otherwise(0))
     ratio = F.when(F.col("expected") > 0, F.round(F.col("missing") / F.col("expected"), 6)).otherwise(0.0)
-    state = F.when(F.col("quarantined") > 0, "failed").when((F.col("missing") > 0) | (F.col("duplicates") > 0), "warning").otherwise("balanced")
+    uneven = (F.col("missing") > 0) | (F.col("unexpected") > 0) | (F.col("duplicates") > 0) | (F.col("quarantined") > 0)
+    state = F.when(F.lit(atomic) & (F.col("quarantined") > 0), "failed").when(uneven, "warning").otherwise("balanced")
     return sums.withColumns({"missing_ratio": ratio, "population_drift": ratio > threshold, "status": state})
 
 
 def alerts(run: DataFrame) -> DataFrame:
-    """(alert, severity) rows of reconciliation rows, worst first."""
-    found = F.array_compact(
-        F.array(
-            F.when(F.col("quarantined") > 0, F.struct(F.lit("quarantine").alias("alert"), F.lit("critical").alias("severity"))),
-            F.when(F.col("population_drift"), F.struct(F.lit("population_drift").alias("alert"), F.lit("high").alias("severity"))),
-            F.when(F.col("duplicates") > 0, F.struct(F.lit("duplicates").alias("alert"), F.lit("warning").alias("severity"))),
-            F.when(F.col("missing") > 0, F.struct(F.lit("missing_rows").alias("alert"), F.lit("info").alias("severity"))),
-        )
-    )
-    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "warning", 2).otherwise(3)
-    return run.select(F.inline(found)).orderBy(rank, "alert")
+    """(alert, severity) rows of reconciliation rows, critical ones first.
+
+    The run may have freshness, license and schema_changed; without such a column there is no alert of that kind.
+    """
+    has = lambda name, test: test if name in run.columns else F.lit(False)
+    tests = [
+        ("freshness", "warning", has("freshness", F.col("freshness") == "stale")),
+        ("license", "warning", has("license", F.col("license") == "missing")),
+        ("license", "critical", has("license", F.col("license") == "restricted")),
+        ("schema-drift", "critical", has("schema_changed", F.col("schema_changed"))),
+        ("record-drift", "warning", (F.col("missing") > 0) | (F.col("unexpected") > 0)),
+        ("quarantine", "warning", F.col("quarantined") > 0),
+        ("reconciliation", "critical", F.col("status") == "failed"),
+        ("reconciliation", "warning", F.col("status") == "warning"),
+    ]
+    found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(alert).alias("alert"), F.lit(severity).alias("severity"))) for alert, severity, test in tests)))
+    return run.select(F.inline(found)).orderBy(F.col("severity") != "critical", "alert")
 
 
 def schema_fingerprint(rows: DataFrame, group: str, json_column: str) -> DataFrame:

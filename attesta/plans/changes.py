@@ -108,8 +108,16 @@ def _reconciled(spark, d):
     return refresh.reconciliation(feed_refresh(spark, d), twice, 0.1)
 
 
+#: Seconds after which the feed of events is stale.
+STALE_AFTER = 10 * 86400
+
+
 def refresh_alerts(spark, d):
-    return refresh.alerts(_reconciled(spark, d))
+    """Alerts of the refresh of orders, watched with the age of the newest event and a restricted license."""
+    newest = table(spark, d, "events").agg(F.max("ts").alias("ts"))
+    age = F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))
+    fresh = newest.select(F.when(age > STALE_AFTER, "stale").otherwise("current").alias("freshness"), F.lit("restricted").alias("license"))
+    return refresh.alerts(_reconciled(spark, d).join(fresh))
 
 
 def feed_freshness(spark, d):
@@ -125,16 +133,23 @@ def key_changes(spark, d):
     return refresh.set_difference(old, new, "o_orderkey")
 
 
-#: Which decision a review state allows, and where it leads.
-MOVES = {
-    "draft": {"submit": "in_review"},
-    "in_review": {"approve": "approved", "request_changes": "changes_requested", "reject": "rejected"},
-    "changes_requested": {"submit": "in_review", "withdraw": "withdrawn"},
-    "approved": {"publish": "published", "reopen": "in_review"},
-    "published": {"retract": "in_review"},
-    "rejected": {"reopen": "in_review"},
+#: Where a decision leads, and which decisions a review state allows.
+LEADS_TO = {
+    "submitted": "submitted", "review_started": "in-review", "changes_requested": "changes-requested", "approved": "approved",
+    "rejected": "rejected", "superseded": "superseded", "archived": "archived", "reopened": "draft",
+}
+ALLOWED = {
+    "draft": ["submitted", "archived"],
+    "submitted": ["review_started", "changes_requested", "rejected", "archived"],
+    "in-review": ["changes_requested", "approved", "rejected", "archived"],
+    "changes-requested": ["submitted", "review_started", "rejected", "archived"],
+    "approved": ["superseded", "archived"],
+    "rejected": ["submitted", "archived"],
+    "superseded": ["archived"],
+    "archived": ["reopened"],
 }
-_DECISIONS = ("submit", "approve", "request_changes", "reject", "publish", "reopen", "withdraw", "assigned")
+MOVES = {state: {x: LEADS_TO[x] for x in decisions} for state, decisions in ALLOWED.items()}
+_DECISIONS = (*LEADS_TO, "assigned")
 
 
 def _decisions(spark, d):
@@ -167,7 +182,7 @@ s AS (SELECT count(*) FILTER (status <> 'unexpected') AS expected, count(*) FILT
       count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'unexpected') AS unexpected, count(*) FILTER (quarantined) AS quarantined,
       (SELECT count(*) FROM numbered WHERE duplicate) AS duplicates FROM refreshed),
 run AS (SELECT *, round(missing / expected, 6) AS missing_ratio, round(missing / expected, 6) > 0.1 AS population_drift,
-        CASE WHEN quarantined > 0 THEN 'failed' WHEN missing > 0 OR duplicates > 0 THEN 'warning' ELSE 'balanced' END AS status FROM s)"""
+        CASE WHEN missing > 0 OR unexpected > 0 OR duplicates > 0 OR quarantined > 0 THEN 'warning' ELSE 'balanced' END AS status FROM s)"""
 
 SQL = {
     "record_versions": f"""WITH {_HISTORY}, s AS (SELECT user_id, content, min(event_id) AS first_seen, max(event_id) AS last_seen FROM h GROUP BY ALL)
@@ -190,8 +205,9 @@ SQL = {
     "feed_refresh": f"WITH {_FEED} SELECT * FROM refreshed",
     "duplicate_rows": f"WITH {_DUPLICATES} SELECT duplicate, count(*) AS n, count(DISTINCT row_key) AS n_keys FROM numbered GROUP BY 1",
     "feed_reconciliation": f"WITH {_RECONCILED} SELECT * FROM run",
-    "refresh_alerts": f"""WITH {_RECONCILED} SELECT 'quarantine' AS alert, 'critical' AS severity FROM run WHERE quarantined > 0 UNION ALL SELECT 'population_drift', 'high' FROM run WHERE population_drift
-        UNION ALL SELECT 'duplicates', 'warning' FROM run WHERE duplicates > 0 UNION ALL SELECT 'missing_rows', 'info' FROM run WHERE missing > 0""",
+    "refresh_alerts": f"""WITH {_RECONCILED}, f AS (SELECT epoch(TIMESTAMP '{AS_OF}') - epoch(max(ts)) > {STALE_AFTER} AS stale FROM events)
+        SELECT 'record-drift' AS alert, 'warning' AS severity FROM run WHERE missing > 0 OR unexpected > 0 UNION ALL SELECT 'quarantine', 'warning' FROM run WHERE quarantined > 0
+        UNION ALL SELECT 'reconciliation', 'warning' FROM run WHERE status = 'warning' UNION ALL SELECT 'license', 'critical' FROM run UNION ALL SELECT 'freshness', 'warning' FROM f WHERE stale""",
     "feed_freshness": f"""WITH m AS (SELECT event_type, max(ts) AS newest FROM events GROUP BY 1), a AS (SELECT *, CAST(floor(epoch(TIMESTAMP '{AS_OF}')) - floor(epoch(newest)) AS BIGINT) AS age_seconds FROM m)
         SELECT *, CASE WHEN age_seconds IS NULL THEN 'unknown' WHEN age_seconds <= 3456000 THEN 'current' ELSE 'stale' END AS sla FROM a""",
     "schema_fingerprints": """WITH p AS (SELECT DISTINCT event_type, k || ':' || CASE WHEN regexp_full_match(v, '-?[0-9]+') THEN 'int' WHEN regexp_full_match(v, '-?[0-9.]+([eE][-+]?[0-9]+)?') THEN 'float'

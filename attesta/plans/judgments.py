@@ -46,11 +46,18 @@ def evidence_roles(spark, d):
     return links.groupBy("lang").agg(of("primary").alias("n_primary"), of("supporting").alias("n_supporting"), of("contradicting").alias("n_contradicting"))
 
 
+#: The states of a review.
+REVIEW_STATES = ("draft", "submitted", "in-review", "changes-requested", "approved", "rejected", "superseded", "archived")
+
+
 def publication_gates(spark, d):
+    """Gates of documents by a quality score of four parts, a review state by length, and whether a primary source is known."""
     rows = _chains(spark, d)
     scores = [F.col("n") % 100, F.col("n") % 90 + 10, F.when(F.col("quality") == 1, 100).otherwise(40), F.when(F.col("method").isNotNull(), 80).otherwise(20)]
-    graded = rows.withColumn("overall", evidence.quality_overall(scores)).withColumn("status", F.when(F.col("confidence") < 40, "needs evidence").otherwise("reviewable"))
-    gate, reasons = evidence.publication_gate(F.col("overall"), F.col("status"), F.coalesce(F.col("toxic") == 1, F.lit(False)))
+    states = F.array(*map(F.lit, REVIEW_STATES))
+    graded = rows.withColumn("overall", evidence.quality_overall(scores)).withColumn("state", F.get(states, (F.col("n") % len(REVIEW_STATES)).cast("int")))
+    critical = ~F.exists("chain", lambda x: x["role"] == "primary")
+    gate, reasons = evidence.publication_gate(F.col("overall"), F.col("state"), critical)
     return graded.select("doc_id", "overall", gate.alias("gate"), reasons.alias("reasons"))
 
 
@@ -102,9 +109,10 @@ SQL = {
         20 * has_primary::INT + 15 * has_locator::INT + 10 * q::INT + 10 * (has_primary::INT + q::INT + t::INT >= 2)::INT + 10 * has_license::INT + 15 * has_method::INT + 10 * (confidence >= 40)::INT + 5 * (NOT t)::INT + 5 * q::INT AS completeness FROM located""",
     "evidence_roles": f"""WITH {_CHAINS} SELECT lang, count(*) FILTER (has_primary) AS n_primary, count(*) FILTER (q) AS n_supporting, count(*) FILTER (t) AS n_contradicting FROM located GROUP BY lang
         HAVING count(*) FILTER (has_primary OR q OR t) > 0""",
-    "publication_gates": f"""WITH {_CHAINS}, g AS (SELECT doc_id, t, CAST(round_even((n % 100 + n % 90 + 10 + CASE WHEN q THEN 100 ELSE 40 END + CASE WHEN has_method THEN 80 ELSE 20 END) / 4.0, 0) AS INT) AS overall, confidence >= 40 AS ok FROM c)
-        SELECT doc_id, overall, CASE WHEN t OR overall < 50 THEN 'blocked' WHEN overall >= 70 AND ok THEN 'external' ELSE 'internal' END AS gate,
-        concat_ws('; ', CASE WHEN t THEN 'contradiction' END, CASE WHEN overall < 50 THEN 'quality below 50' END, CASE WHEN NOT ok THEN 'evidence' END, CASE WHEN overall < 70 THEN 'quality below 70' END) AS reasons FROM g""",
+    "publication_gates": f"""WITH {_CHAINS}, g AS (SELECT doc_id, has_primary AS p, list_extract(['{"', '".join(REVIEW_STATES)}'], CAST(n % 8 + 1 AS BIGINT)) AS s,
+          CAST(round_even((n % 100 + n % 90 + 10 + CASE WHEN q THEN 100 ELSE 40 END + CASE WHEN has_method THEN 80 ELSE 20 END) / 4.0, 0) AS INT) AS overall FROM c)
+        SELECT doc_id, overall, CASE WHEN s = 'approved' AND overall >= 70 AND p THEN 'external' WHEN s IN ('submitted', 'in-review', 'changes-requested', 'approved') AND overall >= 50 THEN 'internal' ELSE 'blocked' END AS gate,
+        concat_ws('; ', CASE WHEN s <> 'approved' THEN 'record has not been approved' END, CASE WHEN overall < 70 THEN 'overall quality score is below 70' END, CASE WHEN NOT p THEN 'critical evidence gaps remain open' END) AS reasons FROM g""",
     "payload_diffs": """WITH f AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice / 50000) AS BIGINT) AS a, o_orderpriority AS p, nullif(o_orderstatus, 'P') AS s FROM orders),
         l AS (SELECT *, lag(a) OVER w AS a0, lag(p) OVER w AS p0, lag(s) OVER w AS s0, row_number() OVER w AS i FROM f WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
         SELECT o_orderkey, CASE WHEN i = 1 THEN '$record' ELSE concat_ws(',', CASE WHEN a <> a0 THEN 'amount.total' END, CASE WHEN p <> p0 THEN 'priority' END, CASE WHEN s IS DISTINCT FROM s0 THEN 'status' END) END AS paths FROM l""",

@@ -147,3 +147,36 @@ def test_bundle_manifest_is_the_same_for_equal_rows(spark, tmp_path):
     rows = spark.range(50).withColumn("x", F.lit("a"))
     one_, two = (exports.export_bundle({"records": df}, str(tmp_path / n)).collect() for n, df in (("p", rows), ("q", rows.orderBy(F.desc("id")))))
     assert one_ == two
+
+
+@pytest.mark.parametrize(
+    ("quality", "state", "critical", "want"),
+    [
+        (70, "approved", False, ("external", "")),
+        (69, "approved", False, ("internal", "overall quality score is below 70")),
+        (90, "approved", True, ("internal", "critical evidence gaps remain open")),
+        (90, "in-review", False, ("internal", "record has not been approved")),
+        (49, "submitted", False, ("blocked", "record has not been approved; overall quality score is below 70")),
+        (90, "draft", False, ("blocked", "record has not been approved")),
+        (90, None, False, ("blocked", "record has not been approved")),
+    ],
+)
+def test_publication_gate(spark, quality, state, critical, want):
+    row = spark.createDataFrame([(quality, state, critical)], "q int, s string, c boolean")
+    assert tuple(row.select(*evidence.publication_gate(F.col("q"), F.col("s"), F.col("c"))).first()) == want
+
+
+def test_null_measures_have_no_class(spark):
+    row = spark.createDataFrame([(None, None, 1.0)], "c double, d string, x double")
+    assert row.select(derive.classify_review(F.col("c"), F.lit(False))).first()[0] is None
+    assert row.select(derive.classify_signal(F.col("x"), F.col("d"))).first()[0] is None
+    assert row.select(derive.classify_signal_raw(F.col("x"), F.col("x") + 1, F.col("d"))).first()[0] is None
+
+
+def test_only_atomic_runs_fail(spark):
+    rows = spark.createDataFrame([("a", "matched", True, True), ("b", "unexpected", False, True)], "k string, status string, quarantined boolean, active boolean")
+    none = spark.createDataFrame([(0,)], "duplicates long")
+    assert refresh.reconciliation(rows, none).first().status == "warning"
+    assert refresh.reconciliation(rows, none, atomic=True).first().status == "failed"
+    found = refresh.alerts(refresh.reconciliation(rows, none, atomic=True)).collect()
+    assert [tuple(r) for r in found] == [("reconciliation", "critical"), ("quarantine", "warning"), ("record-drift", "warning")]
