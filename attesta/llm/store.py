@@ -25,11 +25,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of an Arrow batch in what is stored; a batch is held by the JVM and by a Python worker at once.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and returns what was written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
