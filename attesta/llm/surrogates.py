@@ -170,14 +170,19 @@ def _colliding(drawn: DataFrame, originals: DataFrame) -> DataFrame:
     return stored(bad.unionByName(drawn.join(originals, "fresh", "left_semi").select("normal")).distinct(), "colliding")
 
 
+def _spread(now: DataFrame) -> DataFrame:
+    """Dealt by normal into all shuffle partitions: few bytes of entities cost many draws."""
+    return now.repartition(int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")), "normal")
+
+
 def _settled(now: DataFrame, fresh: Column, originals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``now`` with fresh and the attempt it comes from, and (normal) of what MOST_ATTEMPTS draws leave colliding."""
-    drawn = stored(now.withColumn("fresh", fresh), "drawn")
+    drawn = stored(_spread(now).withColumn("fresh", fresh), "drawn")
     for _ in range(MOST_ATTEMPTS):
         bad = _colliding(drawn, originals)
         if not bad.limit(1).count():
             break
-        again = drawn.join(bad, "normal", "left_semi").withColumn("attempt", F.col("attempt") + 1).withColumn("fresh", fresh)
+        again = _spread(drawn.join(bad, "normal", "left_semi")).withColumn("attempt", F.col("attempt") + 1).withColumn("fresh", fresh)
         drawn = stored(drawn.join(bad, "normal", "left_anti").unionByName(again.select(drawn.columns)), "drawn")
     else:
         bad = _colliding(drawn, originals)
