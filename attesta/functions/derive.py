@@ -61,17 +61,17 @@ def slug(text: Column) -> Column:
     return F.when(short == "", "unspecified").otherwise(short)
 
 
-def digest(*parts: Column) -> Column:
-    """SHA-256 of the trimmed, lower-cased parts joined by a bar; null parts are empty."""
-    return F.sha2(F.concat_ws("|", *(F.lower(F.trim(F.coalesce(p.cast("string"), F.lit("")))) for p in parts)), 256)
-
-
-def stable_id(kind: str, name: Column, *parts: Column) -> Column:
-    return F.concat_ws(":", F.lit(kind), slug(name), F.substring(digest(F.lit(kind), name, *parts), 1, 12))
+def stable_id(kind: str, *parts: Column) -> Column:
+    """kind:slug:12 digits, by the JSON list of the trimmed, lower-cased parts; the slug is that of the first part with a
+    text, else of the kind. Null parts count as empty."""
+    plain = [F.lower(F.trim(F.coalesce(p.cast("string"), F.lit("")))) for p in parts]
+    anchor = F.coalesce(*(F.nullif(p, F.lit("")) for p in plain), F.lit(kind))
+    return F.concat_ws(":", slug(F.lit(kind)), slug(anchor), F.substring(F.sha2(F.to_json(F.array(*plain)), 256), 1, 12))
 
 
 def short_id(prefix: str, *parts: Column) -> Column:
-    return F.concat_ws(":", F.lit(prefix), F.substring(digest(*parts), 1, 32))
+    """prefix:32 digits, by the unchanged parts joined by bars; null parts count as empty."""
+    return F.concat_ws(":", F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256), 1, 32))
 
 
 def payload_hash(*names: str) -> Column:
@@ -162,21 +162,33 @@ def _boolean(c: Column) -> Column:
     return truthy(c, "connector").cast("string")
 
 
-#: The transforms that a mapping may name; each takes the column as text and the transform's arguments.
+def _split(c: Column, delimiter: str = "|", at: int | None = None) -> Column:
+    items = F.filter(F.transform(F.split(c, f"\\Q{delimiter}\\E"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.to_json(items) if at is None else F.get(items, at)
+
+
+def _divide(c: Column, by: float = 1.0) -> Column:
+    if float(by) == 0:
+        raise ValueError("a transform cannot divide by zero")
+    return (c.try_cast("double") / float(by)).cast("string")
+
+
+#: The transforms that a mapping may name; each takes the column as text and the transform's arguments. What cannot be
+#: transformed is null. Integers are cut towards zero; a split gives its items as a JSON list, or one of them.
 TRANSFORMS = {
     "identity": lambda c: c,
     "trim": lambda c: F.trim(c),
     "lower": lambda c: F.lower(c),
     "upper": lambda c: F.upper(c),
     "float": lambda c: c.try_cast("double").cast("string"),
-    "integer": lambda c: F.floor(c.try_cast("double")).cast("string"),
+    "integer": lambda c: c.try_cast("double").try_cast("long").cast("string"),
     "string": lambda c: c,
     "boolean": _boolean,
-    "split": lambda c, by=";", at=0: F.get(F.split(c, f"\\Q{by}\\E"), at),
+    "split": _split,
     "multiply": lambda c, by=1.0: (c.try_cast("double") * float(by)).cast("string"),
-    "divide": lambda c, by=1.0: (c.try_cast("double") / float(by)).cast("string"),
+    "divide": _divide,
     "replace": lambda c, old="", new="": F.replace(c, F.lit(old), F.lit(new)),
-    "coalesce": lambda c, value="": F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(value)).otherwise(c),
+    "coalesce": lambda c, value="": F.when(F.coalesce(c, F.lit("")) == "", F.lit(value)).otherwise(c),
 }
 
 

@@ -171,7 +171,7 @@ _ENTRIES = f"""p AS (
   UNION ALL SELECT 'orders', o_orderpriority || '/' || o_orderstatus, count(*), CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR), CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR), max(o_orderdate) FROM orders GROUP BY 2
   UNION ALL SELECT 'documents', coalesce(source, '') || '/' || coalesce(lang, ''), count(*), NULL, NULL, NULL FROM documents GROUP BY 2),
 entries AS (
-  SELECT provider, dataset_key, n_rows, first_period, last_period, 'dataset:' || substr(sha256(lower(provider) || '|' || lower(trim(dataset_key))), 1, 32) AS entry_id,
+  SELECT provider, dataset_key, n_rows, first_period, last_period, 'dataset:' || substr(sha256(provider || '|' || dataset_key), 1, 32) AS entry_id,
          CASE WHEN latest IS NULL THEN 'unknown' WHEN age <= 30 THEN 'fresh' WHEN age <= 90 THEN 'aging' ELSE 'stale' END AS freshness,
          array_to_string(list_sort(list_distinct(list_transform(string_split(provider || '/' || dataset_key, '/'), lambda t: lower(trim(t))))), ',') AS tags
   FROM (SELECT *, floor((floor(epoch(TIMESTAMP '{AS_OF}')) - floor(epoch(latest))) / 86400) AS age FROM p))"""
@@ -191,7 +191,7 @@ SQL = {
     "empty_series": "SELECT CAST(n_nationkey AS VARCHAR) AS dataset_key, n_name, count(c_custkey) AS n_rows FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9500) ON n_nationkey = c_nationkey GROUP BY 1, 2",
     "status_rollup": f"WITH {_ENTRIES} SELECT provider, count(*) AS n_series, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) FILTER (freshness = 'stale') AS n_stale, max(last_period) AS last_period FROM entries GROUP BY 1",
     "entity_registry": """WITH r AS (SELECT 'country' AS kind, n_name AS name, CAST(n_nationkey AS VARCHAR) AS k FROM nation UNION SELECT 'product', p_name, p_brand FROM part)
-        SELECT kind || ':' || substr(sha256(lower(trim(k)) || '|' || lower(trim(name))), 1, 32) AS entity_id, kind, name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS normal_name FROM r""",
+        SELECT kind || ':' || substr(sha256(k || '|' || name), 1, 32) AS entity_id, kind, name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS normal_name FROM r""",
     "identifier_conflicts": "SELECT p_brand || '/' || p_type || '/' || p_size AS identifier, CASE WHEN count(DISTINCT p_name) = 1 THEN 'accepted' ELSE 'rejected' END AS outcome FROM part GROUP BY 1",
     "entity_resolution": """WITH q AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 'nation ' || s_nationkey WHEN 1 THEN 'LAND ' || s_nationkey WHEN 2 THEN 'ation ' || s_nationkey ELSE '?!' END AS query FROM supplier),
         n AS (SELECT query, trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')) AS q FROM q), names AS (SELECT n_nationkey AS id, replace(lower(n_name), '_', ' ') AS x FROM nation), alias AS (SELECT n_nationkey AS id, 'land ' || n_nationkey AS x FROM nation),

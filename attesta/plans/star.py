@@ -180,8 +180,8 @@ SQL = {
         SELECT indicator_id, CASE WHEN p IS NULL THEN 'missing' WHEN p > '1998' THEN 'governed' ELSE 'review required' END AS governance_status, count(*) AS n
         FROM records LEFT JOIN v USING (indicator_id) GROUP BY ALL""",
     "record_ids": f"""WITH {RECORDS} SELECT record_id, substr(trim(regexp_replace(lower(entity_name || ' / ' || indicator_name), '[^a-z0-9]+', '-', 'g'), '-'), 1, 64) AS slug,
-        'entity:' || trim(regexp_replace(lower(entity_name), '[^a-z0-9]+', '-', 'g'), '-') || ':' || substr(sha256('entity|' || lower(entity_name) || '|' || entity_id), 1, 12) AS stable_id,
-        'node:' || substr(sha256(entity_id || '|' || lower(coalesce(source_name, ''))), 1, 32) AS node_id, 'year' AS period_type, source_name IS NULL AS no_source FROM records""",
+        'entity:' || trim(regexp_replace(lower(entity_name), '[^a-z0-9]+', '-', 'g'), '-') || ':' || substr(sha256('["' || lower(trim(entity_name)) || '","' || lower(trim(entity_id)) || '"]'), 1, 12) AS stable_id,
+        'node:' || substr(sha256(entity_id || '|' || coalesce(source_name, '')), 1, 32) AS node_id, 'year' AS period_type, source_name IS NULL AS no_source FROM records""",
     "studio_query": f"""WITH {RECORDS} SELECT record_id, entity_name, current, source_name, confidence, percent_change, signal FROM records
         WHERE confidence >= 30 AND quality >= 40 AND coalesce(start_date, '') >= '1996-01-01' AND coalesce(end_date, '9999-12-31') <= '2000-12-31' AND even
         ORDER BY lower(source_name) DESC NULLS FIRST, current ASC NULLS LAST, updated_at DESC, record_id LIMIT 200""",

@@ -65,18 +65,20 @@ def to_observations(rows: DataFrame, provider: str, dataset: str, geography: Col
 def mapped(rows: DataFrame, spec: dict[str, dict], source: str) -> DataFrame:
     """Config-driven mapping of a map column: per target its source key, default, transforms and whether it is required.
 
-    Adds ``errors``: required targets that came out empty.
+    Adds ``errors``: required targets that came out empty, and targets whose value a transform could not take.
     """
     from attesta.functions.derive import transformed
 
-    columns = {}
+    columns, failed = {}, []
     for target, rule in spec.items():
         value = F.try_element_at(F.col(source), F.lit(rule["source"])) if "source" in rule else F.lit(rule.get("constant")).cast("string")
         if "default" in rule:
             value = F.when(F.coalesce(F.trim(value), F.lit("")) == "", F.lit(str(rule["default"]))).otherwise(value)
         columns[target] = transformed(value, rule.get("transforms", ()))
-    errors = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(F.col(t)), F.lit("")) == "", f"{t} is required") for t, r in spec.items() if r.get("required"))).cast("array<string>"))
-    return rows.withColumns(columns).withColumn("errors", errors)
+        failed.append(F.when((F.coalesce(F.trim(value), F.lit("")) != "") & columns[target].isNull(), f"{target} cannot be transformed"))
+    empty = [F.when(F.coalesce(F.trim(columns[t]), F.lit("")) == "", f"{t} is required") for t, r in spec.items() if r.get("required")]
+    errors = F.array_compact(F.array(*failed, *empty).cast("array<string>"))
+    return rows.withColumns(columns | {"errors": errors})
 
 
 def read_records_csv(spark: SparkSession, path: str) -> DataFrame:
