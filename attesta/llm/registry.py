@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, importance, language, media, mixing, near_dedup, packing, secrets, surrogates, toxicity
+from . import exact_dedup, importance, language, media, mixing, near_dedup, packing, pieces, secrets, surrogates, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_mix_sources": mixing.query,
     "op10_near_duplicates": near_dedup.query,
+    "op11_sentencepiece": pieces.query,
 }
 
 SQL = {
