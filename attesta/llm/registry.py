@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, importance, language, media, mixing, near_dedup, packing, pieces, secrets, surrogates, toxicity
+from . import exact_dedup, importance, language, line_resampling, media, mixing, near_dedup, packing, pieces, secrets, surrogates, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_mix_sources": mixing.query,
     "op10_near_duplicates": near_dedup.query,
     "op11_sentencepiece": pieces.query,
+    "op12_target_resampling": line_resampling.query,
 }
 
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op9_mix_sources": mixing.SQL,
+    "op12_target_resampling": line_resampling.SQL,
 }
