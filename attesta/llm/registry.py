@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, importance, language, line_resampling, media, mixing, near_dedup, packing, pieces, secrets, surrogates, toxicity
+from . import collocations, exact_dedup, importance, language, line_resampling, media, mixing, near_dedup, packing, pieces, secrets, surrogates, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_near_duplicates": near_dedup.query,
     "op11_sentencepiece": pieces.query,
     "op12_target_resampling": line_resampling.query,
+    "op13_collocations": collocations.query,
 }
 
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op9_mix_sources": mixing.SQL,
     "op12_target_resampling": line_resampling.SQL,
+    "op13_collocations": collocations.SQL,
 }
