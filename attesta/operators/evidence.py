@@ -5,44 +5,133 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINK = "array<struct<role:string,source:string,locator:string,supports:string>>"
+from attesta.functions import derive
+from attesta.operators import contracts
 
+def clean(text: Column) -> Column:
+    """Without white space around it; null if nothing is left."""
+    return F.nullif(F.btrim(text, F.lit(" \t\n\r\f\u000b")), F.lit(""))
 
-def normal_chain(links: Column, primary: Column) -> Column:
-    """The primary source first, then the links in order, one for each (source, role)."""
-    head = F.array(F.struct(F.lit("primary").alias("role"), primary.alias("source"), F.lit(None).cast("string").alias("locator"), F.lit(None).cast("string").alias("supports")).cast("struct<role:string,source:string,locator:string,supports:string>"))
-    return F.aggregate(
-        F.concat(F.when(primary.isNotNull(), head).otherwise(F.array().cast(LINK)), F.coalesce(links, F.array().cast(LINK))),
-        F.array().cast(LINK),
-        lambda kept, x: F.when(F.exists(kept, lambda k: k["source"].eqNullSafe(x["source"]) & k["role"].eqNullSafe(x["role"])), kept).otherwise(F.concat(kept, F.array(x))),
-    )
 
+def struct(**fields: Column) -> Column:
+    return F.struct(*(column.alias(name) for name, column in fields.items()))
 
-def gap_codes(confidence: Column, chain: Column, method: Column, baseline: Column, license_: Column) -> Column:
-    """What the evidence lacks, in a fixed order."""
-    has = lambda role: F.exists(chain, lambda x: x["role"] == role)
-    return F.array_compact(
-        F.array(
-            F.when(~has("primary"), "missing_primary_source"),
-            F.when(~has("supporting"), "no_corroboration"),
-            F.when(has("contradicting"), "contradiction"),
-            F.when(F.forall(chain, lambda x: x["locator"].isNull()), "no_locator"),
-            F.when(F.coalesce(confidence, F.lit(0)) < 40, "low_confidence"),
-            F.when(F.trim(F.coalesce(method, F.lit(""))) == "", "missing_method"),
-            F.when(baseline.isNull(), "missing_baseline"),
-            F.when(license_.isNull(), "missing_license"),
+
+def empty(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def null(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def digest_id(kind: str, *parts: Column) -> Column:
+    """kind:20 digits, by the JSON list of the trimmed, lower-cased parts; null parts count as empty."""
+    plain = [F.lower(F.coalesce(clean(p.cast("string")), F.lit(""))) for p in parts]
+    return F.concat_ws(":", F.lit(kind), F.substring(F.sha2(F.to_json(F.array(*plain)), 256), 1, 20))
+
+
+def normal_source(source: Column) -> Column:
+    """A source with trimmed texts, its name, type and id filled in and its retrieval time in UTC."""
+    name = F.coalesce(clean(source["name"]), F.lit(derive.MISSING_SOURCE))
+    texts = {f: clean(source[f]) for f in ("url", "publisher", "license", "citation", "checksum", "access_notes")}
+    key = digest_id("source", name, texts["publisher"], texts["url"])
+    fields = {
+        "id": F.coalesce(clean(source["id"]), key), "name": name, "type": F.coalesce(clean(source["type"]), F.lit("unspecified")), "url": texts["url"], "publisher": texts["publisher"], "license": texts["license"],
+        "retrieved_at": derive.utc_seconds(clean(source["retrieved_at"])), "citation": texts["citation"], "checksum": texts["checksum"], "access_notes": texts["access_notes"],
+    }
+    return struct(**fields)
+
+
+def normal_links(raw: Column, primary: Column) -> Column:
+    """Links with the primary source, one for each (source id, role), the first of equals.
+
+    ``raw`` is an array of RAW_LINK, ``primary`` a normal source. The first link to the primary source becomes the
+    primary link; without one, a primary link comes first.
+    """
+    claimed = lambda x: F.array_distinct(F.filter(F.transform(F.coalesce(x["supports"], F.array(F.lit("measurement.current"))), clean), lambda s: s.isNotNull()))
+    flat = lambda x: struct(**{f: x[f] for f in SOURCE_FIELDS})
+    locator = lambda x: struct(**{f: clean(x["locator"][f]) for f in ("page", "section", "quote", "fragment")})
+    link = lambda x: struct(role=F.coalesce(clean(x["role"]), F.lit("supporting")), source=normal_source(F.coalesce(x["source"], flat(x))), locator=locator(x), supports=claimed(x), notes=clean(x["notes"]))
+    links = F.transform(F.coalesce(raw, empty(contracts.RAW_LINK)), link).cast(f"array<{contracts.LINK}>")
+    nowhere = struct(page=null("string"), section=null("string"), quote=null("string"), fragment=null("string"))
+    head = struct(role=F.lit("primary"), source=primary, locator=nowhere, supports=F.array(F.lit("measurement.baseline"), F.lit("measurement.current")), notes=null("string"))
+
+    def placed(some: Column) -> Column:
+        at = F.array_position(F.transform(some, lambda x: x["source"]["id"]), primary["id"])
+        return F.when(at == 0, F.concat(F.array(head.cast(contracts.LINK)), some)).otherwise(
+            F.transform(some, lambda x, i: F.when(i + 1 == at, x.withField("role", F.lit("primary")).withField("source", primary.cast(contracts.SOURCE))).otherwise(x))
         )
-    )
 
+    def distinct(some: Column) -> Column:
+        key = lambda x: F.concat_ws("|", x["role"], x["source"]["id"])
+        return F.filter(some, lambda x, i: F.array_position(F.transform(some, key), key(x)) == i + 1)
 
-def completeness(confidence: Column, chain: Column, method: Column, license_: Column) -> Column:
-    """0 to 100: primary source 20, its locator 15, support 10, two sources 10, license 10, method 15, confidence 10, no contradiction 5, something claimed 5."""
-    has = lambda role: F.exists(chain, lambda x: x["role"] == role)
+    return _once(_once(links, placed), distinct)
+
+
+def _once(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+SOURCE_FIELDS = ("id", "name", "type", "url", "publisher", "license", "retrieved_at", "citation", "checksum", "access_notes")
+
+
+def gaps(links: Column, notes: Column, confidence: Column) -> Column:
+    """What the evidence lacks: code, severity and description, in a fixed order."""
+    lacks = lambda field: F.exists(links, lambda x: x["source"][field].isNull())
+    has = lambda role: F.exists(links, lambda x: x["role"] == role)
+    restricted = F.exists(links, lambda x: F.coalesce(F.lower(x["source"]["access_notes"]), F.lit("")).contains("restricted"))
+    rules = [
+        (~has("primary"), "missing-source", "critical", "No primary source is identified."),
+        (lacks("citation"), "missing-citation", "warning", "One or more linked sources lack a citation."),
+        (lacks("license"), "missing-license", "warning", "One or more linked sources lack license metadata."),
+        (lacks("retrieved_at"), "missing-retrieval-date", "warning", "One or more linked sources lack a retrieval timestamp."),
+        (lacks("checksum"), "missing-checksum", "info", "One or more linked sources lack a content checksum."),
+        (clean(notes).isNull(), "missing-method", "warning", "The measurement has no method description."),
+        (F.coalesce(confidence, F.lit(0)) < derive.NEEDS_EVIDENCE, "low-confidence", "warning", "Confidence is below the evidence-readiness threshold."),
+        (has("conflicting"), "conflicting-evidence", "warning", "The evidence chain includes conflicting evidence."),
+        (restricted, "restricted-source", "warning", "The evidence chain includes a restricted source."),
+    ]
+    gap = lambda code, severity, text: struct(code=F.lit(code), severity=F.lit(severity), description=F.lit(text))
+    nothing = F.array(gap("missing-source", "critical", "No source is linked to the measurement."))
+    return F.when(F.size(F.coalesce(links, empty(contracts.LINK))) == 0, nothing).otherwise(F.array_compact(F.array(*(F.when(rule, gap(*texts)) for rule, *texts in rules))))
+
+
+def completeness(links: Column, notes: Column, confidence: Column) -> Column:
+    """0 to 100: primary source 20, all sources cited 15, licensed 10, dated 10, with checksum 10, method 15, confidence 10, more than one 5, no conflict 5."""
+    has = lambda role: F.exists(links, lambda x: x["role"] == role)
+    all_have = lambda field: F.forall(links, lambda x: x["source"][field].isNotNull())
     points = [
-        (has("primary"), 20), (F.exists(chain, lambda x: x["locator"].isNotNull()), 15), (has("supporting"), 10), (F.size(F.array_distinct(F.transform(chain, lambda x: x["source"]))) >= 2, 10),
-        (license_.isNotNull(), 10), (F.trim(F.coalesce(method, F.lit(""))) != "", 15), (F.coalesce(confidence, F.lit(0)) >= 40, 10), (~has("contradicting"), 5), (F.exists(chain, lambda x: x["supports"].isNotNull()), 5),
+        (has("primary"), 20), (all_have("citation"), 15), (all_have("license"), 10), (all_have("retrieved_at"), 10), (all_have("checksum"), 10),
+        (clean(notes).isNotNull(), 15), (F.coalesce(confidence, F.lit(0)) >= derive.NEEDS_EVIDENCE, 10), (F.size(links) > 1, 5), (~has("conflicting"), 5),
     ]
-    return sum(F.when(test, p).otherwise(0) for test, p in points)
+    return F.when(F.size(F.coalesce(links, empty(contracts.LINK))) == 0, 0).otherwise(sum(F.when(test, p).otherwise(0) for test, p in points))
+
+
+def lineage_completeness(lineage: Column) -> Column:
+    """0 to 100: questions, instruments, datasets, batches and transformations 15 each, observations 20, all of them with dimensions 5."""
+    some = lambda part: F.coalesce(F.size(lineage[part]), F.lit(0)) > 0
+    points = [(some(part), 15) for part in ("questions", "instruments", "datasets", "batches", "transformations")] + [(some("observations"), 20)]
+    placed = some("observations") & F.forall(lineage["observations"], lambda o: F.coalesce(F.size(o["dimensions"]), F.lit(0)) > 0)
+    return sum(F.when(F.coalesce(test, F.lit(False)), p).otherwise(0) for test, p in [*points, (placed, 5)])
+
+
+def quality_dimensions(evidence: Column, lineage: Column, flags: Column, observations: Column, status: Column, uncertainty: Column, limitations: Column) -> dict[str, Column]:
+    """Six scores from 0 to 100; ``evidence`` and ``lineage`` are their completeness."""
+    flagged = lambda name: F.coalesce(F.array_contains(flags, name), F.lit(False))
+    of = lambda *kinds: F.coalesce(F.size(F.filter(observations, lambda o: o["quality_status"].isin(*kinds))), F.lit(0))
+    lost = 12 * F.coalesce(F.size(F.array_distinct(flags)), F.lit(0)) + 12 * of("outlier", "rejected") + 5 * of("missing")
+    stated = F.when(clean(uncertainty).isNotNull(), 85).otherwise(55)
+    return {
+        "completeness": F.least(F.lit(100), F.greatest(F.lit(0), F.bround((evidence + lineage) / 2).cast("int"))),
+        "validity": F.greatest(F.lit(25), 100 - lost),
+        "consistency": F.greatest(F.lit(25), 92 - F.when(flagged("conflicting"), 35).otherwise(0) - F.when(status.eqNullSafe(F.lit("active")), 0).otherwise(15)),
+        "timeliness": F.when(flagged("stale"), 45).otherwise(85),
+        "provenance": evidence,
+        "uncertainty": F.when(F.coalesce(F.size(limitations), F.lit(0)) > 0, F.least(F.lit(100), stated + 5)).otherwise(stated),
+    }
 
 
 def quality_overall(scores: list[Column]) -> Column:
@@ -85,8 +174,3 @@ def public_projection(records: DataFrame) -> DataFrame:
     return records.where("publication_status = 'external'").withColumns(
         {"datasets": open_, "observations": F.filter("observations", lambda o: F.array_contains(ids, o["dataset"])), "access_notes": F.lit(None).cast("string"), "reviewers": F.transform("reviewers", lambda r: F.lit(""))}
     )
-
-
-def validation_errors(rules: dict[str, Column]) -> Column:
-    """Names of the rules that don't hold; a rule that is null doesn't."""
-    return F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items())))
