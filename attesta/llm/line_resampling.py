@@ -23,14 +23,14 @@ from .store import HOT_SHARE, read_table, stored
 BUCKETS = 10_000
 SHARE, SEED, LEAST_WORDS = 25, 7, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Java patterns: characters of a word (of lower-cased text), and a word before the first word of a later line.
+#: Java patterns: a character of a word and one between words, of lower-cased text.
 INSIDE, OUTSIDE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-WORD = f"{INSIDE}+"
-ACROSS = rf"({INSIDE}++)(?=[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*+\n{OUTSIDE}*+({INSIDE}++))"
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """A to Z alone in lower case; texts of ASCII characters only take the faster way."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def _bucket(feature: Column) -> Column:
@@ -45,7 +45,7 @@ def lines_of(texts: DataFrame) -> DataFrame:
     """k1, k2 (hashes of the line), occurrences, n_words and buckets of every distinct line with a word; written."""
     lines = texts.select(F.explode(F.split(lowered(F.col("text")), "\n")).alias("line")).where(F.col("line").rlike(INSIDE))
     distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("occurrences"))
-    words = distinct.select(*_keys("line"), "occurrences", F.expr("regexp_extract_all(line, '%s', 0)" % WORD.replace("\\", "\\\\")).alias("words"))
+    words = distinct.select(*_keys("line"), "occurrences", F.array_remove(F.split("line", f"{OUTSIDE}+"), "").alias("words"))
     n = F.size("words")
     pairs = _pairs(F.slice("words", 1, n - 1), F.slice("words", 2, n - 1))
     return stored(words.select("k1", "k2", "occurrences", n.cast("long").alias("n_words"), F.concat(F.transform("words", _bucket), pairs).alias("buckets")), "lines")
@@ -56,9 +56,15 @@ def _keys(line: str) -> tuple[Column, Column]:
 
 
 def across(text: Column) -> Column:
-    """Buckets of the pairs of words with a line's end in between."""
-    left, right = (F.regexp_extract_all(text, F.lit(ACROSS), F.lit(group)) for group in (1, 2))
-    return _pairs(left, right)
+    """Buckets of the pairs of words with a line's end in between: the last word of a line and the first of the next."""
+
+    def pairs(lines: Column) -> Column:
+        n = F.greatest(F.size(lines) - 1, F.lit(0))
+        last = F.transform(F.slice(lines, 1, n), lambda x: F.reverse(F.regexp_extract(F.reverse(x), f"{INSIDE}+", 0)))
+        return _pairs(last, F.transform(F.slice(lines, 2, n), lambda x: F.regexp_extract(x, f"{INSIDE}+", 0)))
+
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(INSIDE))
+    return F.get(F.transform(F.array(lines), pairs), 0)
 
 
 def bucket_counts(texts: DataFrame, lines: DataFrame) -> DataFrame:
