@@ -3,7 +3,8 @@
 A record is a JSON object as text, as the payload readers give it. A specification names the key, the columns with the
 fields they come from in order of preference, which columns are required, and for observations where the value is, or
 that each of the requested fields is one (wide to long). Of records with one key the one landed last stays, with the
-time the key was first seen. Everything is a projection and one grouping by key, which the map side reduces first.
+time the key was first seen. Where a specification keeps columns, the last value that is there stays instead; where rows are
+children, only those of their parent's latest landing stay. Everything is a projection and one grouping by key, which the map side reduces first.
 
 Texts are trimmed, empty ones count as missing. An object stands for its value, name, title or description, a list for
 its items joined. Values within dimensions and hashes are compared as texts; a record without identifier is known by the
@@ -103,14 +104,19 @@ SPECS: dict[str, dict] = {
         "columns": {"table_name": ["@table"], "planet_name": ["pl_name", "toi", "#"], "host_name": ["hostname", "tic_id"], "discovery_method": ["discoverymethod"]},
         "numbers": {"discovery_year": "disc_year", "orbital_period_days": "pl_orbper", "radius_earth": "pl_rade", "mass_earth": "pl_masse", "stellar_temperature_k": "st_teff", "distance_pc": "sy_dist"},
     },
-    "archive_items": {"key": ["identifier"], "required": ["identifier"], "columns": {"identifier": ["identifier"], "title": ["title"], "mediatype": ["mediatype"], "item_date": ["date"], "description": ["description"], "metadata_sha256": ["#"]}},
+    "archive_items": {
+        "key": ["identifier"], "required": ["identifier"], "lists": {"creators": "creator", "collections": "collection", "subjects": "subject"},
+        "columns": {"identifier": ["identifier"], "title": ["title"], "mediatype": ["mediatype"], "item_date": ["date"], "description": ["description"], "metadata_sha256": ["#"]},
+    },
+    "archive_item_versions": {"key": ["identifier", "metadata_sha256"], "required": ["identifier"], "columns": {"identifier": ["identifier"], "metadata_sha256": ["#"]}},
     "archive_files": {
-        "key": ["identifier", "file_name"], "required": ["file_name"], "flags": {"private": "private"}, "truth": "archive", "digits": {"size_bytes": "size"},
+        "key": ["identifier", "file_name"], "children_of": ["identifier"], "required": ["file_name"], "flags": {"private": "private"}, "truth": "archive", "digits": {"size_bytes": "size"},
         "columns": {"identifier": ["@identifier", "identifier"], "file_name": ["name"], "format": ["format"], "md5": ["md5"], "sha1": ["sha1"]},
     },
     "wayback_captures": {
-        "key": ["target_url", "timestamp", "original_url"], "required": ["timestamp"], "digits": {"length_bytes": "length"},
-        "columns": {"target_url": ["@target_url", "target"], "timestamp": ["timestamp"], "original_url": ["original", "@target_url", "target"], "mimetype": ["mimetype"], "status_code": ["statuscode"], "digest": ["digest"]},
+        "key": ["target_url", "timestamp", "original_url"], "keep": ["mimetype", "status_code", "digest", "length_bytes"], "required": ["timestamp"], "digits": {"length_bytes": "length"},
+        "columns": {"target_url": ["@target_url", "target"], "timestamp": ["timestamp"], "original_url": ["original", "@target_url", "target"], "mimetype": ["mimetype"], "status_code": ["statuscode"], "digest": ["digest"], "replay_url": ["url"]},
+        "built": {"replay_url": "concat('https://web.archive.org/web/', timestamp, '/', original_url)"},
     },
 }
 
@@ -192,6 +198,10 @@ def normalised(records: DataFrame, name: str, metrics: list[str] | None = None,
         columns[column] = derive.truthy(_field(field), spec["truth"])
     for column, field in spec.get("digits", {}).items():
         columns[column] = F.when(_field(field).rlike("^[0-9]+$"), _field(field).try_cast("long"))
+    for column, field in spec.get("lists", {}).items():
+        held = _field(field)
+        items = F.when(held.startswith("["), F.from_json(held, "array<string>")).otherwise(F.array(held))
+        columns[column] = F.to_json(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))
     for column, named in spec.get("present", {}).items():
         has = {kind: _text(_field(field)).isNotNull() for kind, field in named.items()}
         one = F.coalesce(*(F.when(there, kind) for kind, there in has.items()), F.lit("unknown"))
@@ -201,9 +211,17 @@ def normalised(records: DataFrame, name: str, metrics: list[str] | None = None,
         rows = rows.where(F.col(column).isNotNull())
     for column, never in spec.get("never", {}).items():
         rows = rows.where(F.col(column) != never)
+    for column, built in spec.get("built", {}).items():
+        rows = rows.withColumn(column, F.coalesce(column, F.expr(built)))
     key, rest = spec["key"], [c for c in columns if c not in spec["key"]]
     seen = [F.min("_order").alias("first_seen_at"), F.max("_order").alias("fetched_at")]
     if not rest:
         return rows.groupBy(*key).agg(*seen)
     last = F.max(F.struct("_order", F.struct(*rest).alias("rest"))).alias("last")
-    return rows.groupBy(*key).agg(last, *seen).select(*key, "last.rest.*", "first_seen_at", "fetched_at")
+    kept = [F.max(F.when(F.col(c).isNotNull(), F.struct("_order", c)))[c].alias(f"_{c}") for c in spec.get("keep", [])]
+    found = rows.groupBy(*key).agg(last, *kept, *seen).select(*key, *(f"_{c}" for c in spec.get("keep", [])), "last.rest.*", "first_seen_at", "fetched_at")
+    found = found.select(*(F.col(f"_{c}").alias(c) if c in spec.get("keep", []) else F.col(c) for c in (*key, *rest, "first_seen_at", "fetched_at")))
+    if parent := spec.get("children_of"):  # what the parent's latest landing no longer has is gone; few landings a parent
+        latest = rows.groupBy(*parent).agg(F.max("_order").alias("fetched_at"))
+        found = found.join(latest, [*parent, "fetched_at"], "left_semi")
+    return found

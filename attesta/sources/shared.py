@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one, but only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="attesta-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` and read again; ``df`` itself where that is unset."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df`` written below the shared folder and read again."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
