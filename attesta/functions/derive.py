@@ -5,6 +5,7 @@ All rates round half away from zero, like SQL; integer scores round half to even
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Sequence
 
@@ -158,6 +159,53 @@ def normal_name(names: pd.Series) -> pd.Series:
     return plain.str.findall("[a-z0-9]+").str.join(" ")
 
 
+OBJECT = "{"
+
+
+def _paths(value, path: str = ""):
+    """(path, value) of everything below a JSON value, objects before what they hold; lists are whole."""
+    for key in value:
+        at = f"{path}.{key}" if path else key
+        yield at, value[key]
+        if isinstance(value[key], dict):
+            yield from _paths(value[key], at)
+
+
+def _parsed(text: str | None):
+    try:
+        return json.loads(text) if text else None
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def json_entries(texts: pd.Series) -> pd.Series:
+    """Dotted paths of a JSON object of any depth: a value's JSON text with sorted keys, and OBJECT for objects.
+
+    Null for what is no JSON object.
+    """
+    plain = lambda v: OBJECT if isinstance(v, dict) else json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    parsed = texts.map(_parsed)
+    return parsed.map(lambda v: {path: plain(x) for path, x in _paths(v)} if isinstance(v, dict) else None)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_types(texts: pd.Series) -> pd.Series:
+    """path:type of everything in a JSON object, of a list's first element as path[]; null values have no type."""
+
+    def types(value, path: str = ""):
+        if isinstance(value, list):
+            yield from types(value[0], f"{path}[]") if value else ()
+        elif isinstance(value, dict):
+            for key, x in value.items():
+                at = f"{path}.{key}" if path else key
+                if x is not None:
+                    yield f"{at}:{'object' if isinstance(x, dict) else type(x).__name__}"
+                yield from types(x, at)
+
+    return texts.map(_parsed).map(lambda v: sorted(set(types(v))))
+
+
 def _boolean(c: Column) -> Column:
     return truthy(c, "connector").cast("string")
 
@@ -167,10 +215,10 @@ def _split(c: Column, delimiter: str = "|", at: int | None = None) -> Column:
     return F.to_json(items) if at is None else F.get(items, at)
 
 
-def _divide(c: Column, by: float = 1.0) -> Column:
-    if float(by) == 0:
+def _divide(c: Column, value: float = 1.0) -> Column:
+    if float(value) == 0:
         raise ValueError("a transform cannot divide by zero")
-    return (c.try_cast("double") / float(by)).cast("string")
+    return (c.try_cast("double") / float(value)).cast("string")
 
 
 #: The transforms that a mapping may name; each takes the column as text and the transform's arguments. What cannot be
@@ -185,7 +233,7 @@ TRANSFORMS = {
     "string": lambda c: c,
     "boolean": _boolean,
     "split": _split,
-    "multiply": lambda c, by=1.0: (c.try_cast("double") * float(by)).cast("string"),
+    "multiply": lambda c, value=1.0: (c.try_cast("double") * float(value)).cast("string"),
     "divide": _divide,
     "replace": lambda c, old="", new="": F.replace(c, F.lit(old), F.lit(new)),
     "coalesce": lambda c, value="": F.when(F.coalesce(c, F.lit("")) == "", F.lit(value)).otherwise(c),

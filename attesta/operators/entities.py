@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import derive
@@ -37,8 +37,33 @@ def crosswalk(rows: DataFrame, identifiers: DataFrame, namespaces: list[str], co
     return rows.withColumn("entity_id", F.coalesce(*found)).drop(*(f"_e{i}" for i in range(len(found))))
 
 
-#: Most entities that a name which nothing equals is searched in as a substring; beyond it the search needs a text index.
-SUBSTRING_ENTITIES = 1_000_000
+#: Length of the pieces of names in the index; shorter queries are pieces themselves.
+PIECE = 3
+
+
+def _pieces(text: str, least: int) -> Column:
+    """Distinct substrings of a text of ``least`` to PIECE characters."""
+    one = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(*(F.coalesce(one(n), none) for n in range(least, PIECE + 1)))))
+
+
+def containing(asked: DataFrame, entities: DataFrame) -> DataFrame:
+    """query, n, first_entity: how many entities' normal names contain the query's ``q``, and the smallest of their ids.
+
+    An inverted index lists the entities of every piece of up to PIECE characters. A query of that length is answered by
+    its own list's count; a longer one reads the list of its rarest piece and every name on it is verified, so the work
+    follows the rarest piece and no entity is compared with all queries.
+    """
+    names = entities.select("entity_id", F.col("normal_name").alias("name")).distinct()
+    pieces = names.select("entity_id", "name", F.explode(_pieces("name", 1)).alias("piece"))
+    counts = pieces.groupBy("piece").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("first_entity"))
+    short = asked.where(F.length("q") <= PIECE).join(counts.withColumnRenamed("piece", "q"), "q").select("query", "n", "first_entity")
+    long_ = asked.where(F.length("q") > PIECE).select("query", "q", F.explode(_pieces("q", PIECE)).alias("piece"))
+    known = long_.join(counts.select("piece", "n"), "piece", "left").groupBy("query", "q")
+    rarest = known.agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "piece")).alias("r")).where("r.n > 0").select("query", "q", F.col("r.piece").alias("piece"))
+    found = rarest.join(pieces, "piece").where(F.contains("name", "q")).groupBy("query").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("first_entity"))
+    return short.unionByName(found)
 
 
 def resolve(queries: DataFrame, entities: DataFrame, aliases: DataFrame, substring_confidence: float = 0.65) -> DataFrame:
@@ -49,14 +74,9 @@ def resolve(queries: DataFrame, entities: DataFrame, aliases: DataFrame, substri
     """
     asked = queries.select("query").distinct().withColumn("q", derive.normal_name("query"))
     names = entities.select("entity_id", F.col("normal_name").alias("q")).unionByName(aliases.select("entity_id", F.col("normal_name").alias("q"))).distinct()
-    exact = asked.where("q <> ''").join(names, "q").select("query", "entity_id", F.lit(1.0).alias("confidence"))
-    open_ = asked.where("q <> ''").join(exact.select("query").distinct(), "query", "left_anti")
-    few = entities.select("entity_id", F.col("normal_name").alias("n")).limit(SUBSTRING_ENTITIES + 1)
-    if few.count() > SUBSTRING_ENTITIES:
-        raise ValueError("too many entities for a substring search")
-    part = open_.join(F.broadcast(few), F.contains("n", "q")).select("query", "entity_id", F.lit(substring_confidence).alias("confidence"))
-    best = exact.unionByName(part).groupBy("query", "entity_id").agg(F.max("confidence").alias("confidence"))
-    top = best.groupBy("query").agg(F.count(F.lit(1)).alias("n_candidates"), F.max("confidence").alias("confidence"), F.min("entity_id").alias("best_entity"))
-    outcome = F.when(F.coalesce("n_candidates", F.lit(0)) == 0, "not-found").when(F.col("n_candidates") == 1, "resolved").otherwise("ambiguous")
-    joined = asked.join(top, "query", "left").withColumn("outcome", outcome)
-    return joined.select("query", "outcome", F.coalesce("n_candidates", F.lit(0).cast("long")).alias("n_candidates"), F.when(F.col("outcome") == "resolved", F.col("best_entity")).alias("entity_id"), "confidence")
+    exact = asked.where("q <> ''").join(names, "q").groupBy("query").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("first_entity")).withColumn("confidence", F.lit(1.0))
+    open_ = asked.where("q <> ''").join(exact, "query", "left_anti")
+    top = exact.unionByName(containing(open_, entities).withColumn("confidence", F.lit(substring_confidence)))
+    joined = asked.join(top, "query", "left").withColumn("n_candidates", F.coalesce("n", F.lit(0).cast("long")))
+    outcome = F.when(F.col("n_candidates") == 0, "not-found").when(F.col("n_candidates") == 1, "resolved").otherwise("ambiguous")
+    return joined.select("query", outcome.alias("outcome"), "n_candidates", F.when(F.col("n_candidates") == 1, F.col("first_entity")).alias("entity_id"), "confidence")

@@ -160,6 +160,27 @@ def payload_diff(old: Column, new: Column) -> Column:
     return F.when(old.isNull(), F.array(F.lit("$record"))).otherwise(F.array_sort(F.filter(paths, lambda p: ~F.try_element_at(a, p).eqNullSafe(F.try_element_at(b, p)))))
 
 
+def nested_diff(before: Column, after: Column) -> Column:
+    """Sorted dotted paths where two JSON objects differ; no earlier object differs as a whole.
+
+    A path is named where the two are of another kind, where one lacks it, or where its values differ; what lies below a
+    named path is not named as well. Lists are compared whole.
+    """
+    kind = "map<string,string>"
+
+    def paths(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        top = lambda p: F.substring_index(p, ".", -1) == p
+        parent = lambda p: F.substring(p, F.lit(1), F.length(p) - F.length(F.substring_index(p, ".", -1)) - 1)
+        inside = lambda p: top(p) | (F.try_element_at(a, parent(p)).eqNullSafe(F.lit(derive.OBJECT)) & F.try_element_at(b, parent(p)).eqNullSafe(F.lit(derive.OBJECT)))
+        every = F.array_union(F.map_keys(a), F.map_keys(b))
+        return F.array_sort(F.filter(every, lambda p: ~F.try_element_at(a, p).eqNullSafe(F.try_element_at(b, p)) & inside(p)))
+
+    none = F.create_map().cast(kind)
+    both = struct(a=F.coalesce(derive.json_entries(before), none), b=F.coalesce(derive.json_entries(after), none))
+    return F.when(before.isNull(), F.array(F.lit("$record"))).otherwise(_once(both, paths))
+
+
 def distinct_mappings(mappings: Column) -> Column:
     """Framework mappings, the first of each lower-cased (framework, code, relationship)."""
     key = lambda m: F.concat_ws("|", F.lower(m["framework"]), F.lower(m["code"]), F.lower(m["relationship"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions import derive
+
 
 def first_of_key(payload: DataFrame, key: str, order: str) -> DataFrame:
     """``duplicate`` marks all rows of a key but the first."""
@@ -60,12 +62,30 @@ def alerts(run: DataFrame) -> DataFrame:
     return run.select(F.inline(found)).orderBy(F.col("severity") != "critical", "alert")
 
 
+def schema_paths(rows: DataFrame, keys: list[str], json_column: str) -> DataFrame:
+    """Distinct path:type of all JSON objects of every key, nested ones included; a table of the schemas' size."""
+    return rows.select(*keys, F.explode(derive.json_types(json_column)).alias("path")).distinct()
+
+
 def schema_fingerprint(rows: DataFrame, group: str, json_column: str) -> DataFrame:
     """Hash of the paths and types of all JSON objects of a group; null values have no type."""
-    pairs = rows.select(group, F.explode(F.from_json(json_column, "map<string,string>")).alias("path", "value")).where("value IS NOT NULL")
-    kind = F.when(F.col("value").rlike(r"^-?[0-9]+$"), "int").when(F.col("value").rlike(r"^-?[0-9.]+([eE][-+]?[0-9]+)?$"), "float").when(F.col("value").isin("true", "false"), "bool").when(F.col("value").rlike(r"^[\[{]"), "nested").otherwise("str")
-    paths = pairs.select(group, F.concat_ws(":", "path", kind).alias("p"))
-    return paths.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("paths")).withColumn("fingerprint", F.sha2("paths", 256))
+    paths = schema_paths(rows, [group], json_column)
+    return paths.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths")).withColumn("fingerprint", F.sha2("paths", 256))
+
+
+def schema_drift(before: DataFrame, after: DataFrame, group: str, json_column: str) -> DataFrame:
+    """Paths that a group's objects gained or lost from one run to the next, or whose type is another now.
+
+    One row for each path: group, path, was, now. Several types of one path are joined by bars. Groups of one run alone
+    have all their paths.
+    """
+
+    def types(rows: DataFrame, name: str) -> DataFrame:
+        parts = schema_paths(rows, [group], json_column).select(group, F.substring_index("path", ":", -1).alias("type"), F.expr("substring(path, 1, length(path) - length(substring_index(path, ':', -1)) - 1)").alias("path"))
+        return parts.groupBy(group, "path").agg(F.array_join(F.array_sort(F.collect_list("type")), "|").alias(name))
+
+    joined = types(before, "was").join(types(after, "now"), [group, "path"], "full")
+    return joined.where(~F.col("was").eqNullSafe(F.col("now")))
 
 
 def staleness(rows: DataFrame, keys: list[str], stamp: str, as_of: Column, sla_seconds: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions import derive
+
 
 def record_access(governance: DataFrame, workspaces: DataFrame, projects: DataFrame, people: DataFrame) -> DataFrame:
     """Governed records with the names of workspace, project, owner, steward and custodian; no workspace, no row."""
@@ -81,8 +83,8 @@ def frozen_positions(rows: DataFrame, run: str, order: list[Column]) -> DataFram
 
 
 def resolve_identifiers(identifiers: DataFrame, asked: DataFrame) -> DataFrame:
-    """Entities of the asked identifiers of a scheme, as written or in normal form (letters and digits, lower case)."""
-    normal = F.regexp_replace(F.lower("identifier"), "[^a-z0-9]+", "")
+    """Entities of the asked identifiers of a scheme, as written or in the normal form of names (tokens keep apart)."""
+    normal = derive.normal_name("identifier")
     known = identifiers.select("entity_id", "scheme", F.col("identifier").alias("known"), normal.alias("normal"))
     found = asked.withColumn("normal", normal).where("normal <> ''").join(known, ["scheme", "normal"])
     return found.withColumn("exact", F.col("identifier") == F.col("known")).groupBy("asked_id", "entity_id").agg(F.max("exact").alias("exact"))

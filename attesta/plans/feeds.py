@@ -84,7 +84,7 @@ def range_reads(spark, d):
 SPEC = {
     "name": {"source": "priority", "transforms": ["trim", "lower", ("replace", {"old": "-", "new": " "})], "required": True},
     "grade": {"source": "priority", "transforms": [("split", {"delimiter": "-", "at": 0}), "integer"]},
-    "scaled": {"source": "price", "transforms": [("multiply", {"by": 100}), "integer"]},
+    "scaled": {"source": "price", "transforms": [("multiply", {"value": 100}), "integer"]},
     "flag": {"source": "status", "transforms": [("replace", {"old": "F", "new": "yes"}), "boolean"]},
     "note": {"source": "note", "default": "none", "transforms": ["upper"]},
     "owner": {"source": "owner", "required": True},

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from attesta.plans import changes, feeds, governed, judgments, ledgers, providers, registry_graph, star, views, workspaces
+from attesta.plans import changes, feeds, governed, judgments, ledgers, providers, registries, registry_graph, star, views, workspaces
 
-_PLANS = (star, changes, feeds, providers, judgments, governed, ledgers, registry_graph, views, workspaces)
+_PLANS = (star, changes, feeds, providers, judgments, governed, ledgers, registries, registry_graph, views, workspaces)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}

@@ -30,7 +30,7 @@ def test_short_id_keeps_case_and_counts_null_as_empty(spark):
 
 @pytest.mark.parametrize(
     "text, steps, want",
-    [("-3.5", ["integer"], "-3"), ("x", ["float"], None), (" a | |b ", ["split"], '["a","b"]'), ("a-b", [("split", {"delimiter": "-", "at": 1})], "b"), (" ", [("coalesce", {"value": "z"})], " "), ("", [("coalesce", {"value": "z"})], "z"), ("3", [("multiply", {"by": 2})], "6.0"), ("On ", ["boolean"], "true")],
+    [("-3.5", ["integer"], "-3"), ("x", ["float"], None), (" a | |b ", ["split"], '["a","b"]'), ("a-b", [("split", {"delimiter": "-", "at": 1})], "b"), (" ", [("coalesce", {"value": "z"})], " "), ("", [("coalesce", {"value": "z"})], "z"), ("3", [("multiply", {"value": 2})], "6.0"), ("On ", ["boolean"], "true")],
 )
 def test_transforms(spark, text, steps, want):
     assert one(spark, derive.transformed(F.lit(text), steps)) == want
