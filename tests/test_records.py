@@ -40,9 +40,41 @@ def built(spark, rows):
     return records.canonical(records.from_json(df, "js", ["row_number"]), NOW, keep=["row_number"])
 
 
+_LINEAGE = {"observations": [{"id": "observation:a:1", "batch_id": "batch:unknown:1", "role": "current", "value": 79, "quality_status": "valid", "dimensions": {"a": "b"}}]}
+#: All variants are built and validated in one pass.
+VARIANTS = {
+    "sample": AUTHORED,
+    "no baseline": changed(values__baseline=None),
+    "zero baseline": changed(values__baseline=0, source__name="", confidence__score=95),
+    "flags": changed(method__quality_flags=["stale", "conflicting", "unverified"]),
+    "bare": changed(evidence_chain=None, source={"name": "Tracker", "access_notes": "Restricted"}, method__notes=" ", confidence__score=39),
+    "bad unit": changed(indicator_governance={"unit": {"symbol": "score", "conversion_factor": 0, "conversion_offset": "x"}}),
+    "odd unit": changed(indicator__unit="°C / m²"),
+    "no object": "[1]",
+    "score": changed(confidence__score=101),
+    "direction": changed(indicator__direction="sideways"),
+    "link": changed(evidence_chain={"sources": [{"source": {"name": "x", "url": "not a uri"}, "role": "mystery"}]}),
+    "current": changed(values__current="many"),
+    "updated": changed(updated_at="2020-01-01"),
+    "period": changed(period__end_date="2026-01-01"),
+    "lineage": changed(observation_lineage=_LINEAGE),
+    "checksum": changed(source__checksum="md5:1"),
+    "extension": changed(extensions={"Bad": "x"}),
+    "approved": changed(review_workflow={"state": "approved"}),
+    "method": changed(indicator_governance={"methodology": {"status": "approved"}}),
+}
+
+
 @pytest.fixture(scope="module")
-def sample(spark):
-    return built(spark, [AUTHORED]).first()
+def found(spark):
+    rows = built(spark, list(VARIANTS.values())).withColumn("kept", F.col("issues"))
+    checked = validation.validated(rows).collect()
+    return {name: next(r for r in checked if r.row_number == i) for i, name in enumerate(VARIANTS)}
+
+
+@pytest.fixture(scope="module")
+def sample(found):
+    return found["sample"]
 
 
 def test_derived_values(sample):
@@ -87,62 +119,50 @@ def test_governance_and_review(sample):
     assert (w.state, w.publication_gate.status, w.publication_gate.reasons, w.revision.number) == ("draft", "blocked", ["record has not been approved"], 1)
 
 
-def test_only_a_current_observation_without_a_baseline(spark):
-    r = built(spark, [changed(values__baseline=None)]).first()
+def test_only_a_current_observation_without_a_baseline(found):
+    r = found["no baseline"]
     assert [o.role for o in r.observation_lineage.observations] == ["current"] and r.observation_lineage.batches[0].record_count == 1
     assert r.observation_lineage.transformations[0].operation == "identity"
 
 
-def test_zero_baseline_and_missing_source(spark):
-    r = built(spark, [changed(values__baseline=0, source__name="", confidence__score=95)]).first()
+def test_zero_baseline_and_missing_source(found):
+    r = found["zero baseline"]
     assert (r.measurement.percent_change, r.source.name, r.review.status, r.review.signal_status) == (None, "Unspecified source", "missing source", "indeterminate")
 
 
-def test_flags_lower_quality(spark):
-    q = built(spark, [changed(method__quality_flags=["stale", "conflicting", "unverified"])]).first().review_workflow.quality
+def test_flags_lower_quality(found):
+    q = found["flags"].review_workflow.quality
     assert (q.timeliness, q.consistency, q.validity) == (45, 57, 64)
 
 
-def test_gaps_of_bare_evidence(spark):
-    r = built(spark, [changed(evidence_chain=None, source={"name": "Tracker", "access_notes": "Restricted"}, method__notes=" ", confidence__score=39)]).first()
+def test_gaps_of_bare_evidence(found):
+    r = found["bare"]
     assert [(g.code, g.severity) for g in r.evidence_chain.gaps] == [
         ("missing-citation", "warning"), ("missing-license", "warning"), ("missing-retrieval-date", "warning"), ("missing-checksum", "info"), ("missing-method", "warning"), ("low-confidence", "warning"), ("restricted-source", "warning"),
     ]
     assert r.evidence_chain.completeness_score == 25
 
 
-def test_units(spark):
-    unit = {"symbol": "score", "conversion_factor": 0, "conversion_offset": "x"}
-    r = built(spark, [changed(indicator_governance={"unit": unit}), changed(indicator__unit="°C / m²")]).orderBy("row_number").collect()
-    assert [tuple(i) for i in r[0].issues] == [("indicator_governance.unit.conversion_factor", "must be greater than zero"), ("indicator_governance.unit.conversion_offset", "must be a finite number")]
-    assert r[1].indicator_governance.unit.dimension == "c_m"
+def test_units(found):
+    assert [tuple(i) for i in found["bad unit"].kept] == [("indicator_governance.unit.conversion_factor", "must be greater than zero"), ("indicator_governance.unit.conversion_offset", "must be a finite number")]
+    assert found["odd unit"].indicator_governance.unit.dimension == "c_m"
 
 
-def errors_of(spark, rows):
-    found = validation.validated(built(spark, rows)).orderBy("row_number").collect()
-    return [[(e.path, e.message.split(":")[0]) for e in r.errors] for r in found]
+PATHS = {
+    "sample": [], "score": ["confidence.score"], "link": ["evidence_chain.sources.1.role", "evidence_chain.sources.1.source.url"], "updated": ["updated_at"], "period": ["period.end_date"],
+    "lineage": ["observation_lineage.observations", "observation_lineage.observations.0.batch_id"], "checksum": ["source.checksum"], "extension": ["extensions"], "method": ["indicator_governance.methodology"],
+}
 
 
-def test_errors_have_paths(spark):
-    link = {"source": {"name": "x", "url": "not a uri"}, "role": "mystery"}
-    lineage = {"observations": [{"id": "observation:a:1", "batch_id": "batch:unknown:1", "role": "current", "value": 79, "quality_status": "valid", "dimensions": {"a": "b"}}]}
-    rows = [
-        AUTHORED, "[1]", changed(confidence__score=101), changed(indicator__direction="sideways"), changed(evidence_chain={"sources": [link]}), changed(values__current="many"), changed(updated_at="2020-01-01"),
-        changed(period__end_date="2026-01-01"), changed(observation_lineage=lineage), changed(source__checksum="md5:1"), changed(extensions={"Bad": "x"}), changed(review_workflow={"state": "approved"}),
-        changed(indicator_governance={"methodology": {"status": "approved"}}),
-    ]
-    found = errors_of(spark, rows)
-    assert found[0] == []
-    assert found[1][0] == ("record", "must be an object")
-    assert [e[0][0] for e in found[2:4]] == ["confidence.score", "indicator.direction"]
-    assert [p for p, _ in found[4]] == ["evidence_chain.sources.1.role", "evidence_chain.sources.1.source.url"]
-    assert found[5][0] == ("measurement.current", "must be a finite number")
-    assert found[6] == [("updated_at", "cannot be earlier than created_at")]
-    assert found[7] == [("period.end_date", "cannot be earlier than period.start_date")]
-    assert [p for p, _ in found[8]] == ["observation_lineage.observations", "observation_lineage.observations.0.batch_id"]
-    assert [p for p, _ in found[9]] == ["source.checksum"] and [p for p, _ in found[10]] == ["extensions"]
-    assert ("review_workflow.state", "approved needs an approval decision") in found[11]
-    assert found[12] == [("indicator_governance.methodology", "approved needs approved_by and approved_at")]
+@pytest.mark.parametrize("name", PATHS)
+def test_errors_have_paths(found, name):
+    assert [e.path for e in found[name].errors] == PATHS[name]
+
+
+def test_first_errors(found):
+    first = {name: (found[name].errors[0].path, found[name].errors[0].message.split(":")[0]) for name in ("no object", "direction", "current")}
+    assert first == {"no object": ("record", "must be an object"), "direction": ("indicator.direction", "must be one of"), "current": ("measurement.current", "must be a finite number")}
+    assert ("review_workflow.state", "approved needs an approval decision") in [tuple(e) for e in found["approved"].errors]
 
 
 def test_altered_derivations_are_found(spark):
