@@ -59,7 +59,7 @@ def content_distinct(spark, d):
 def fill_upsert(spark, d):
     rows = table(spark, d, "events")
     one = lambda c: rows.where(c).groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("click"), F.max(F.when(F.col("event_type") != "click", F.col("event_id"))).alias("other"))
-    return history.fill_upsert(one("ts < '2024-01-20'"), one("ts >= '2024-01-20' AND event_id % 3 = 0"), "user_id", ["click", "other"])
+    return history.fill_upsert(one("ts < '2024-01-20'"), one("ts >= '2024-01-20'"), "user_id", ["click", "other"])
 
 
 def latest_children(spark, d):
@@ -196,7 +196,7 @@ SQL = {
     "seen_ranges": "SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1, 2",
     "content_distinct": "SELECT sha256(l_linestatus || '|' || CAST(l_quantity AS VARCHAR) || '|' || l_returnflag) AS content_id, min(l_shipdate) AS first_seen, max(l_shipdate) AS fetched, count(*) AS n FROM lineitem GROUP BY 1",
     "fill_upsert": """WITH a AS (SELECT user_id, max(event_id) FILTER (event_type = 'click') AS click, max(event_id) FILTER (event_type <> 'click') AS other FROM events WHERE ts < '2024-01-20' GROUP BY 1),
-        b AS (SELECT user_id, max(event_id) FILTER (event_type = 'click') AS click, max(event_id) FILTER (event_type <> 'click') AS other FROM events WHERE ts >= '2024-01-20' AND event_id % 3 = 0 GROUP BY 1)
+        b AS (SELECT user_id, max(event_id) FILTER (event_type = 'click') AS click, max(event_id) FILTER (event_type <> 'click') AS other FROM events WHERE ts >= '2024-01-20' GROUP BY 1)
         SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(b.click, a.click) AS click, coalesce(b.other, a.other) AS other FROM a FULL JOIN b ON a.user_id = b.user_id""",
     "latest_children": "SELECT o_custkey AS item, year(o_orderdate) AS version, o_orderkey AS child FROM orders QUALIFY year(o_orderdate) = max(year(o_orderdate)) OVER (PARTITION BY o_custkey)",
     "missing_derived": "SELECT c_custkey AS record FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < '1998-01-01')",

@@ -35,7 +35,7 @@ def catalog_search(spark, d):
 
 
 def catalog_sync(spark, d):
-    before = table(spark, d, "events").where("ts < '2024-01-15'").groupBy(F.concat_ws("/", "user_id", "event_type").alias("series")).agg(F.min(F.to_date("ts")).alias("first_seen"))
+    before = table(spark, d, "events").where("ts < '2024-01-20'").groupBy(F.concat_ws("/", "user_id", "event_type").alias("series")).agg(F.min(F.to_date("ts")).alias("first_seen"))
     after = table(spark, d, "events").where("ts >= '2024-01-20'").select(F.concat_ws("/", "user_id", "event_type").alias("series")).distinct()
     return catalog.sync(before, after, "series", F.lit("2024-02-01").cast("date"))
 
@@ -111,7 +111,7 @@ def graph_neighbours(spark, d):
 
 
 def graph_paths(spark, d):
-    starts = table(spark, d, "region").where("r_regionkey < 2").select(F.concat(F.lit("region:"), "r_regionkey").alias("node_id"))
+    starts = table(spark, d, "region").select(F.concat(F.lit("region:"), "r_regionkey").alias("node_id"))
     return graph.shortest_paths(stored(_edges(spark, d), "edges"), starts, 4, stored).select("start", "node_id", "depth", F.array_join(F.transform("path", lambda h: h["edge_id"]), " > ").alias("path"))
 
 
@@ -149,7 +149,7 @@ def assignments(spark, d):
 
 def input_integrity(spark, d):
     orders = table(spark, d, "orders")
-    frozen = orders.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_orderkey") % 10).alias("run"), F.col("o_orderstatus").alias("content"))
+    frozen = orders.select("o_orderkey", (F.col("o_orderkey") % 10).alias("run"), F.col("o_orderstatus").alias("content"))
     current = orders.where("o_orderkey % 5 <> 0").select("o_orderkey", F.when(F.col("o_custkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("content"))
     known = orders.where("o_orderkey % 30 = 0").select((F.col("o_orderkey") % 10).alias("run"), "o_orderkey", F.lit("missing").alias("status"))
     return access.invalidations(access.integrity(frozen, current, "o_orderkey", "content"), known, "run", "o_orderkey")
@@ -186,7 +186,7 @@ _PIECE = "CAST(sum(CAST('0x' || substr({0}, {1}, 12) AS BIGINT)) AS VARCHAR)"
 SQL = {
     "catalog_entries": f"WITH {_ENTRIES} SELECT * FROM entries",
     "catalog_search": f"WITH {_ENTRIES} SELECT provider, dataset_key, n_rows FROM entries WHERE provider = 'orders' AND dataset_key ILIKE '%urgent%' ORDER BY n_rows DESC, dataset_key LIMIT 10 OFFSET 1",
-    "catalog_sync": """WITH b AS (SELECT user_id || '/' || event_type AS series, min(CAST(ts AS DATE)) AS f FROM events WHERE ts < '2024-01-15' GROUP BY 1), a AS (SELECT DISTINCT user_id || '/' || event_type AS series FROM events WHERE ts >= '2024-01-20')
+    "catalog_sync": """WITH b AS (SELECT user_id || '/' || event_type AS series, min(CAST(ts AS DATE)) AS f FROM events WHERE ts < '2024-01-20' GROUP BY 1), a AS (SELECT DISTINCT user_id || '/' || event_type AS series FROM events WHERE ts >= '2024-01-20')
         SELECT coalesce(a.series, b.series) AS series, a.series IS NOT NULL AS active, coalesce(f, DATE '2024-02-01') AS first_seen FROM a FULL JOIN b ON a.series = b.series""",
     "empty_series": "SELECT CAST(n_nationkey AS VARCHAR) AS dataset_key, n_name, count(c_custkey) AS n_rows FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9500) ON n_nationkey = c_nationkey GROUP BY 1, 2",
     "status_rollup": f"WITH {_ENTRIES} SELECT provider, count(*) AS n_series, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) FILTER (freshness = 'stale') AS n_stale, max(last_period) AS last_period FROM entries GROUP BY 1",
@@ -207,8 +207,8 @@ SQL = {
     "graph_neighbours": f"""WITH {_EDGES} SELECT source AS node_id, predicate, target AS neighbour, 'out' AS direction FROM edges WHERE starts_with(source, 'nation:')
         UNION ALL SELECT target, predicate, source, 'in' FROM edges WHERE starts_with(target, 'nation:')""",
     "graph_paths": f"""WITH {_EDGES}, b AS (SELECT source AS x, edge_id, target AS y FROM edges UNION ALL SELECT target, edge_id, source FROM edges)
-        SELECT 'region:' || r_regionkey AS start, 'region:' || r_regionkey AS node_id, 0 AS depth, '' AS path FROM region WHERE r_regionkey < 2
-        UNION ALL SELECT x, y, 1, edge_id FROM b WHERE x IN ('region:0', 'region:1') UNION ALL SELECT p.x, q.y, 2, p.edge_id || ' > ' || q.edge_id FROM b p JOIN b q ON p.y = q.x WHERE p.x IN ('region:0', 'region:1') AND q.y <> p.x""",
+        SELECT 'region:' || r_regionkey AS start, 'region:' || r_regionkey AS node_id, 0 AS depth, '' AS path FROM region
+        UNION ALL SELECT x, y, 1, edge_id FROM b WHERE x LIKE 'region:%' UNION ALL SELECT p.x, q.y, 2, p.edge_id || ' > ' || q.edge_id FROM b p JOIN b q ON p.y = q.x WHERE p.x LIKE 'region:%' AND q.y <> p.x""",
     "graph_rebuild": f"WITH {_EDGES} SELECT edge_id, CASE WHEN confidence >= 0.9 THEN 'added' ELSE 'deactivated' END AS event FROM edges WHERE confidence >= 0.9 OR confidence <= 0.1",
     "graph_status": f"WITH {_EDGES} SELECT predicate, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets, max(confidence) AS most FROM edges GROUP BY 1",
     "federated_view": """SELECT o_custkey, o_orderpriority, o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS total, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS place
@@ -222,7 +222,7 @@ SQL = {
     "assignments": """SELECT o_orderkey, CASE WHEN o_orderkey % 12 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS workspace, CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 6 = 0 THEN 90 ELSE o_custkey % 30 END AS INT) AS due_date,
         CASE WHEN o_orderkey % 12 = 0 AND o_orderpriority <> '1-URGENT' THEN o_orderpriority END AS from_workspace FROM orders""",
     "input_integrity": """SELECT o_orderkey % 10 AS run, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'missing' ELSE 'changed' END AS status FROM orders
-        WHERE o_orderkey % 3 = 0 AND ((o_orderkey % 5 = 0 AND o_orderkey % 30 <> 0) OR (o_orderkey % 5 <> 0 AND o_custkey % 7 = 0))""",
+        WHERE (o_orderkey % 5 = 0 AND o_orderkey % 30 <> 0) OR (o_orderkey % 5 <> 0 AND o_custkey % 7 = 0 AND o_orderstatus <> 'X')""",
     "run_manifest": f"""WITH h AS (SELECT o_orderstatus, sha256(o_orderkey || '|' || o_custkey || '|' || o_orderpriority) AS h FROM orders)
         SELECT o_orderstatus, count(*) AS n, sha256({_PIECE.format("h", 1)} || ',' || {_PIECE.format("h", 13)} || ',' || {_PIECE.format("h", 25)}) AS sha256 FROM h GROUP BY 1""",
 }

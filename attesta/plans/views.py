@@ -29,11 +29,18 @@ def lineage_summary(spark, d):
     return rows.select("c_custkey", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_orders", "n_missing", "n_parts", "n_flagged", "n_types")))
 
 
+#: Revisions in one row of a dossier.
+TRAIL = 50
+
+
 def record_dossier(spark, d):
-    """A record with all its revisions in order, as one row."""
-    rows = table(spark, d, "events").select("user_id", "event_id", "event_type")
-    revised = history.revisions(rows, "user_id", "event_id", "event_type")
-    return revised.groupBy("user_id").agg(F.max("revision").alias("n_revisions"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("revision", "event_type"))), lambda x: x["event_type"]), ">").alias("trail"))
+    """A record's revisions in order, TRAIL of them a row, with how many revisions, events and open gaps it has in all."""
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    revised = history.revisions(rows.drop("value"), "user_id", "event_id", "event_type").withColumn("part", F.floor((F.col("revision") - 1) / TRAIL))
+    trails = revised.groupBy("user_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("revision", "event_type"))), lambda x: x["event_type"]), ">").alias("trail"))
+    counts = revised.groupBy("user_id").agg(F.max("revision").alias("n_revisions"))
+    events = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("value") < 20).alias("n_gaps"))
+    return trails.join(counts, "user_id").join(events, "user_id")
 
 
 def observation_dimensions(spark, d):
@@ -56,7 +63,7 @@ def flat_export(spark, d):
 
 
 def jsonld_export(spark, d):
-    return exports.jsonld_lines(registry_graph._nodes(spark, d), registry_graph._edges(spark, d), 1000).drop("line")
+    return exports.jsonld_lines(registry_graph._nodes(spark, d), registry_graph._edges(spark, d), 1000)
 
 
 def merged_stream(spark, d):
@@ -83,14 +90,17 @@ SQL = {
         SELECT c_custkey, coalesce(n_orders, 0) AS n_orders, coalesce(n_missing, 0) AS n_missing, coalesce(n_parts, 0) AS n_parts, coalesce(n_flagged, 0) AS n_flagged, coalesce(n_types, 0) AS n_types
         FROM customer LEFT JOIN o ON o.o_custkey = c_custkey LEFT JOIN l ON l.o_custkey = c_custkey LEFT JOIN e ON user_id = c_custkey""",
     "record_dossier": """WITH r AS (SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type)
-        SELECT user_id, count(*) AS n_revisions, string_agg(event_type, '>' ORDER BY event_id) AS trail FROM r GROUP BY 1""",
+        , t AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 50 AS part, count(*) OVER (PARTITION BY user_id) AS n_revisions FROM r), e AS (SELECT user_id, count(*) AS n_events, count(*) FILTER (value < 20) AS n_gaps FROM events GROUP BY 1)
+        SELECT user_id, part, any_value(n_revisions) AS n_revisions, string_agg(event_type, '>' ORDER BY event_id) AS trail, any_value(n_events) AS n_events, any_value(n_gaps) AS n_gaps FROM t JOIN e USING (user_id) GROUP BY 1, 2""",
     "observation_dimensions": "SELECT o_orderkey, o_orderstatus, min(l_returnflag) AS flag, min(l_linestatus) AS status FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2",
     "connector_status": """WITH r AS (SELECT o_orderpriority, max(o_orderdate) AS latest_run, count(*) AS n_rows, count(*) FILTER (o_totalprice > 300000) AS open_alerts, count(*) FILTER (o_orderstatus = 'P') AS quarantined FROM orders GROUP BY 1)
         SELECT *, CASE WHEN quarantined * 10 > n_rows THEN 'failing' WHEN open_alerts > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM r""",
     "flat_export": """SELECT o_custkey, count(*) AS orders_n, min(o_orderkey) AS orders_first, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ' | ') AS priorities, CAST(count(DISTINCT o_orderpriority) AS INT) AS priorities_count,
         replace(CAST(list_sort(list(DISTINCT o_orderkey)) AS VARCHAR), ' ', '') AS keys_json FROM orders GROUP BY 1""",
-    "jsonld_export": f"""WITH {registry_graph._EDGES}, n AS (SELECT 'region:' || r_regionkey AS id FROM region UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'customer:' || c_custkey FROM customer UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier)
-        (SELECT id, 'node' AS part, (SELECT count(*) FROM n) > 1000 AS truncated FROM n ORDER BY id LIMIT 1000) UNION ALL (SELECT edge_id, 'edge', (SELECT count(*) FROM edges) > 1000 FROM edges ORDER BY edge_id LIMIT 1000)""",
+    "jsonld_export": f"""WITH {registry_graph._EDGES}, n AS (SELECT 'region:' || r_regionkey AS id, 'region' AS kind, r_name AS label FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name FROM nation
+          UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name FROM supplier)
+        (SELECT id, '{{"@id":"' || id || '","type":"' || kind || '","label":"' || label || '"}}' AS line, 'node' AS part, (SELECT count(*) FROM n) > 1000 AS truncated FROM n ORDER BY id LIMIT 1000)
+        UNION ALL (SELECT edge_id, '{{"@id":"' || edge_id || '","subject":"' || source || '","predicate":"' || predicate || '","object":"' || target || '"}}', 'edge', (SELECT count(*) FROM edges) > 1000 FROM edges ORDER BY edge_id LIMIT 1000)""",
     "merged_stream": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1",
     "late_events": "SELECT event_id, CAST(floor(epoch(ts + to_seconds(event_id % 600))) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) > 300 AS late FROM events",
 }
