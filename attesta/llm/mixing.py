@@ -12,6 +12,8 @@ sums of hash bins (at most ``BINS`` per source) find the bin where the fraction
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,13 +99,13 @@ def _dealt(measured: DataFrame, plan: DataFrame, max_epochs: float) -> DataFrame
     inside = inside.withColumn("extra", ((2 * reached + F.col("size") <= 2 * F.col("left")) & (F.col("size") > 0)).cast("int"))
     below = F.when(F.col("cut_bin").isNull(), F.col("left") > 0).otherwise(F.col("bin") < F.col("cut_bin"))
     outside = outside.withColumn("extra", (below & F.coalesce("some", F.lit(False))).cast("int"))
-    return outside.unionByName(inside).withColumn("times", F.least(F.col("whole") + F.col("extra"), F.lit(int(max_epochs)).cast("long")))
+    return outside.unionByName(inside).withColumn("times", F.least(F.col("whole") + F.col("extra"), F.lit(math.ceil(max_epochs)).cast("long")))
 
 
 def repetitions(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, total: float | None = None, seed: str = SEED) -> DataFrame:
     """Every row of ``docs`` with how often the mix takes it.
 
-    Returns doc_id, source, size, source_size, target and times (0 to ``max_epochs``). Null text and text without words
+    Returns doc_id, source, size, source_size, target and times (0 to ``max_epochs``, rounded up where it is a fraction). Null text and text without words
     have size 0 and are never taken in a fraction. Null sources form one source. The order is by a hash of the
     identifier, then of the text, so reruns and other partitionings give the same mix; rows that repeat an identifier, or
     have none, are ordered next to each other and decided each. No rows give no rows; other columns are ignored.

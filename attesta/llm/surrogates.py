@@ -28,7 +28,7 @@ MOST_ATTEMPTS = 50
 #: A name's attempt holds that of its surname, times this, and that of its first name.
 SURNAMES = 1000
 
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _CARD = r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -36,7 +36,7 @@ _PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{
 #: Forms of address by gender.
 _MALE, _FEMALE, _ANY = ("Mr", "Herr", "Monsieur", "Sr", "г-н"), ("Mrs", "Ms", "Miss", "Frau", "Mme", "Sra", "г-жа"), ("Dr", "Prof")
 _ADDRESS = "(?:" + "|".join(sorted((*_MALE, *_FEMALE, *_ANY), key=len, reverse=True)) + r")\.?"
-_NAME = r"(?<![\p{L}])" + _ADDRESS + r" \p{Lu}\p{L}{1,30}(?: \p{Lu}\p{L}{1,30})?"
+_NAME = r"(?<![\p{L}])" + _ADDRESS + r" \p{Lu}\p{L}++(?: \p{Lu}\p{L}++)?"
 PATTERN = "|".join((_EMAIL, _IP, _CARD, _SSN, _PHONE, _NAME))
 
 #: First names by script and gender, and the syllables of surnames.

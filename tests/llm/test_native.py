@@ -131,3 +131,11 @@ def test_mix_meets_targets(documents, seed):
 
 def test_mix_of_no_rows(documents):
     assert mixing.repetitions(documents([])).count() == 0
+
+
+def test_a_fractional_bound_of_epochs_is_met(documents):
+    """The source that is capped at two and a half times its size gets that, by documents taken twice or three times."""
+    docs = documents([(i, "one two three four", "en", "a") for i in range(100)] + [(1000 + i, "five six", "en", "b") for i in range(2000)])
+    got = [r for r in mixing.repetitions(docs, weights=[5, 1], max_epochs=2.5).collect() if r.source == "a"]
+    assert got[0].target == 1000 and abs(sum(r.times * r.size for r in got) - 1000) <= 4
+    assert {r.times for r in got} == {2, 3}

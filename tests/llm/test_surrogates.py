@@ -114,3 +114,13 @@ def test_surnames_that_collide_draw_again_alike(documents, monkeypatch):
     fresh = [re.findall(r"(\w+)\.", got[i][1]) for i in range(40)]
     assert all(len(f) == 3 and len(set(f)) == 1 for f in fresh)
     assert len({f[0] for f in fresh}) == 40
+
+
+def test_mentions_of_any_length_go_whole(documents):
+    """Local parts, domains and names beyond usual lengths are entities like others."""
+    local, name = "a" * 70, "B" + "b" * 45
+    host = ".".join(["d" * 70] * 12)
+    got = replaced(documents, [(1, f"write {local}@mail.example.com now"), (2, f"to Mr {name} now"), (3, f"at x@{host}.org.")])
+    assert [got[i][0] for i in (1, 2, 3)] == [1, 1, 1]
+    assert local not in got[1][1] and name[-5:] not in got[2][1] and "ddd" not in got[3][1]
+    assert got[1][1].startswith("write ") and got[1][1].endswith(" now") and got[2][1].endswith(" now") and got[3][1].endswith(".")
