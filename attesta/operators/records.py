@@ -346,7 +346,8 @@ def canonical(df: DataFrame, now: str, producer: str = PRODUCER, component: str
     """Records of authored rows (see ``authored``, ``from_json``, ``from_flat``), with ``keep`` and ``issues``.
 
     Rows that cannot be records keep their place: ``issues`` names the path and what is wrong with it. ``now`` (ISO 8601)
-    is the creation time where none is authored.
+    is the creation time where none is authored. Store the records before they are filtered by derived parts or joined:
+    a filter would be pushed down through all layers and repeat them.
     """
     keep = keep or []
     core = with_core(df, keep, now, producer, component)

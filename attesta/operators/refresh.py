@@ -62,6 +62,25 @@ def alerts(run: DataFrame) -> DataFrame:
     return run.select(F.inline(found)).orderBy(F.col("severity") != "critical", "alert")
 
 
+def run_states(runs: DataFrame, threshold: float = 0.25) -> DataFrame:
+    """Status, license, freshness, drift and health of connector runs.
+
+    ``runs`` has atomic, inserted, updated, skipped, quarantined, expected, missing, license, license_status (a governed
+    restriction), age_seconds, sla_seconds, fingerprint and last_fingerprint. A run without an age is of unknown
+    freshness, one without a fingerprint of unknown drift; no agreed age is never exceeded.
+    """
+    c, done = F.col, F.col("inserted") + F.col("updated") + F.col("skipped")
+    status = F.when(c("atomic") & (c("quarantined") > 0), "failed").when((c("quarantined") > 0) & (done > 0), "partial").when(c("quarantined") > 0, "quarantined").otherwise("succeeded")
+    license_ = F.when(c("license_status").eqNullSafe(F.lit("restricted")), "restricted").when(F.coalesce(c("license"), F.lit("")) != "", "compliant").otherwise("missing")
+    fresh = F.when(c("age_seconds").isNull(), "unknown").when(F.coalesce(c("age_seconds") > c("sla_seconds"), F.lit(False)), "stale").otherwise("current")
+    other = c("last_fingerprint").isNotNull() & c("fingerprint").isNotNull() & (c("last_fingerprint") != c("fingerprint"))
+    ratio = F.when(c("expected") > 0, c("missing") / c("expected")).otherwise(0.0)
+    drift = F.when(other | (ratio > threshold), "changed").when(c("fingerprint").isNotNull(), "stable").otherwise("unknown")
+    rows = runs.withColumns({"status": status, "license_state": license_, "freshness": fresh, "drift": drift})
+    sound = (c("status") == "succeeded") & (c("freshness") != "stale") & (c("drift") != "changed") & (c("license_state") == "compliant")
+    return rows.withColumn("health", F.when(sound, "healthy").when(c("status").isin("failed", "quarantined"), "unhealthy").otherwise("degraded"))
+
+
 def schema_paths(rows: DataFrame, keys: list[str], json_column: str) -> DataFrame:
     """Distinct path:type of all JSON objects of every key, nested ones included; a table of the schemas' size."""
     return rows.select(*keys, F.explode(derive.json_types(json_column)).alias("path")).distinct()

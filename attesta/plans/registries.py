@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attesta.functions import derive
-from attesta.operators import entities, evidence, refresh, validation
+from attesta.operators import comparability, entities, evidence, refresh, validation
 from attesta.operators import registries as ops
 from attesta.operators.evidence import null, struct
 from attesta.plans import governed, providers, registry_graph
-from attesta.sources.shared import scratch
+from attesta.sources.shared import scratch, stored
 from attesta.sources.tables import table
 from attesta.streaming import ingest
 
@@ -184,9 +184,62 @@ def stream_deltas(spark, d):
     return ingest.state_of(spark, path, "user_id", "event_id")[1]
 
 
+def _governed(spark, d):
+    """Parts with an indicator and its governance."""
+    k, size, text = F.col("p_partkey"), F.col("p_size"), F.lit
+    texts = lambda *items: F.array_compact(F.array(*items)).cast("array<string>")
+    indicator = struct(id=F.col("p_type"), direction=F.when(size % 9 == 0, "lower").otherwise("higher"), version=F.when(size % 4 == 0, "2").otherwise("1"))
+    governance = struct(
+        unit=struct(id=F.col("p_brand"), dimension=F.when(size % 11 == 0, "time").otherwise("mass"), canonical_unit_id=F.when(size % 13 == 0, "s").otherwise("kg"), conversion_factor=(size % 7 + 1).cast("double"), conversion_offset=(size % 3).cast("double")),
+        frequency=F.when(size % 5 == 0, "daily").otherwise("annual"), aggregation=F.when(size % 6 == 0, "mean").otherwise("sum"), methodology=struct(id=F.concat(text("m"), (size % 3).cast("string"))),
+        compatibility=struct(comparable_versions=texts(text("1"), F.when(k % 2 == 0, "2")), methodology_equivalence=texts(text("m0"), F.when(k % 3 == 0, "m1")), required_dimensions=texts(F.when(size % 8 == 0, "sex"), F.when(k % 17 == 0, "age"))),
+        disaggregation_dimensions=texts(text("sex"), F.when(k % 2 == 1, "age")),
+    )
+    return table(spark, d, "part").select("p_partkey", "p_type", F.col("p_retailprice").cast("double").alias("value"), indicator.alias("i"), governance.alias("g"))
+
+
+def governed_comparisons(spark, d):
+    """Every part with the next one of its type: comparability, reasons, and the converted value or why there is none."""
+    after = lambda c: F.lead(c).over(Window.partitionBy("p_type").orderBy("p_partkey"))
+    pairs = _governed(spark, d).withColumns({"other": after("p_partkey"), "i2": after("i"), "g2": after("g")}).where("other IS NOT NULL")
+    status, reasons, can = comparability.comparability(F.col("i"), F.col("g"), F.col("i2"), F.col("g2"))
+    moved = comparability.converted(F.col("value"), F.col("g.unit"), F.col("g2.unit"))
+    return pairs.select("p_partkey", "other", status.alias("status"), F.array_join(reasons, "; ").alias("reasons"), can.alias("convertible"), moved.alias("moved")).select("*", "moved.value", "moved.error").drop("moved")
+
+
+def run_health(spark, d):
+    """States of runs, one for each customer's orders of a priority."""
+    of = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    k = F.col("o_custkey")
+    runs = table(spark, d, "orders").groupBy("o_orderpriority", "o_custkey").agg(of("F").alias("inserted"), of("O").alias("updated"), F.lit(0).alias("skipped"), of("P").alias("quarantined"), F.count(F.lit(1)).alias("expected"), F.count_if(F.col("o_totalprice") > 300000).alias("missing"), F.max("o_orderdate").alias("at"))
+    runs = runs.withColumns(
+        {
+            "atomic": k % 4 == 0, "license": F.when(k % 5 != 0, "open"), "license_status": F.when(k % 11 == 0, "restricted"), "age_seconds": F.when(k % 3 != 0, F.datediff(F.lit("2001-12-31").cast("date"), F.to_date("at")) * 86400),
+            "sla_seconds": F.when(k % 6 != 0, 400 * 86400), "fingerprint": F.when(k % 13 != 0, "f"), "last_fingerprint": F.when(k % 17 == 0, "g").when(k % 2 == 0, "f"),
+        }
+    )
+    return refresh.run_states(runs).select("o_orderpriority", "o_custkey", "status", "license_state", "freshness", "drift", "health")
+
+
+def public_records(spark, d):
+    """Canonical records of orders, some approved and governed as public, as they may be shown."""
+    k, w = F.col("row_number"), F.col("review_workflow")
+    lineage = F.col("observation_lineage")
+    access = F.when(k % 7 == 2, "internal").otherwise("public")
+    rows = stored(governed._built(spark, d).where(F.size("issues") == 0), "records").withColumns(
+        {
+            "review_workflow": w.withField("state", F.when(k % 2 == 0, "approved").otherwise("draft")).withField("publication_gate", w["publication_gate"].withField("status", F.when(k % 3 == 0, "internal").otherwise("external"))).withField("assigned_reviewers", F.array(F.lit("ann"))),
+            "observation_lineage": lineage.withField("datasets", F.transform(lineage["datasets"], lambda x: x.withField("access", access))),
+        }
+    )
+    rules = rows.select("record_id", F.when(k % 5 == 1, "private").otherwise("public").alias("visibility"), F.when(k % 11 == 5, "internal").otherwise("public").alias("classification"))
+    shown = comparability.public_records(rows, rules)
+    return shown.select("row_number", "source.access_notes", F.size("observation_lineage.datasets").alias("n_datasets"), F.size("observation_lineage.batches").alias("n_batches"), F.size("observation_lineage.observations").alias("n_observations"), F.size("review_workflow.assigned_reviewers").alias("n_reviewers"))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (unit_registry, saved_queries, query_runs, replication_reviews, source_history, seeded_measurements, status_rollups, entity_status, entity_series, record_derivations, lineage_counts, nested_diffs, schema_drift, name_search, stream_deltas)
+    for q in (unit_registry, saved_queries, query_runs, replication_reviews, source_history, seeded_measurements, status_rollups, entity_status, entity_series, record_derivations, lineage_counts, nested_diffs, schema_drift, name_search, stream_deltas, governed_comparisons, run_health, public_records)
 }
 
 _WORD = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
@@ -236,4 +289,21 @@ SQL = {
     "name_search": """WITH q AS (SELECT DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'omer ' WHEN 1 THEN 'r ' ELSE '' END || o_custkey % 500 AS query FROM orders), n AS (SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS x FROM customer)
         SELECT query, count(DISTINCT c_custkey) AS n FROM q JOIN n ON contains(x, query) GROUP BY 1""",
     "stream_deltas": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
+    "governed_comparisons": """WITH p AS (SELECT p_partkey AS k, p_type AS t, CAST(p_retailprice AS DOUBLE) AS v, p_size AS s, p_brand AS u, lead(p_partkey) OVER w AS k2, lead(p_size) OVER w AS s2, lead(p_brand) OVER w AS u2 FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_partkey)),
+        x AS (SELECT *, CASE WHEN (s % 9 = 0) <> (s2 % 9 = 0) THEN 'indicator directions differ' WHEN (s % 11 = 0) <> (s2 % 11 = 0) OR (s % 13 = 0) <> (s2 % 13 = 0) THEN 'unit dimensions or canonical bases differ' END AS hard,
+          list_filter([CASE WHEN (s % 5 = 0) <> (s2 % 5 = 0) THEN 'measurement frequencies differ' END, CASE WHEN (s % 6 = 0) <> (s2 % 6 = 0) THEN 'aggregation methods differ' END,
+            CASE WHEN s % 3 <> s2 % 3 AND NOT (s % 3 <> 2 AND s2 % 3 <> 2 AND (k % 3 = 0 OR k2 % 3 = 0)) THEN 'methodologies are not declared equivalent' END,
+            CASE WHEN (s2 % 4 = 0 AND k % 2 <> 0) OR (s % 4 = 0 AND k2 % 2 <> 0) THEN 'indicator versions are not mutually declared comparable' END,
+            CASE WHEN (k % 17 = 0 OR k2 % 17 = 0) AND NOT (k % 2 = 1 AND k2 % 2 = 1) THEN 'required dimensions are not shared: age' END], lambda r: r IS NOT NULL) AS limits FROM p WHERE k2 IS NOT NULL),
+        y AS (SELECT *, CASE WHEN hard IS NOT NULL THEN 'incompatible' WHEN len(limits) > 0 THEN 'limited' WHEN u <> u2 THEN 'convertible' ELSE 'equivalent' END AS status FROM x)
+        SELECT k AS p_partkey, k2 AS other, status, CASE WHEN hard IS NOT NULL THEN hard WHEN u = u2 AND len(limits) = 0 THEN 'governance definitions are equivalent' ELSE array_to_string(list_concat(CASE WHEN u <> u2 THEN ['units differ but share a conversion basis'] ELSE [] END, limits), '; ') END AS reasons,
+          status IN ('equivalent', 'convertible') AS convertible, CASE WHEN (s % 11 = 0) = (s2 % 11 = 0) AND (s % 13 = 0) = (s2 % 13 = 0) THEN round((v * (s % 7 + 1) + s % 3 - s2 % 3) / (s2 % 7 + 1), 12) END AS value,
+          CASE WHEN (s % 11 = 0) <> (s2 % 11 = 0) THEN 'units have incompatible dimensions' WHEN (s % 13 = 0) <> (s2 % 13 = 0) THEN 'units do not share a canonical conversion basis' END AS error FROM y""",
+    "run_health": """WITH r AS (SELECT o_orderpriority, o_custkey, count(*) FILTER (o_orderstatus = 'P') AS q, count(*) FILTER (o_orderstatus <> 'P') AS done, count(*) AS n, count(*) FILTER (o_totalprice > 300000) AS lost, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-12-31') AS age FROM orders GROUP BY 1, 2),
+        s AS (SELECT *, CASE WHEN o_custkey % 4 = 0 AND q > 0 THEN 'failed' WHEN q > 0 AND done > 0 THEN 'partial' WHEN q > 0 THEN 'quarantined' ELSE 'succeeded' END AS status, CASE WHEN o_custkey % 11 = 0 THEN 'restricted' WHEN o_custkey % 5 <> 0 THEN 'compliant' ELSE 'missing' END AS license_state,
+          CASE WHEN o_custkey % 3 = 0 THEN 'unknown' WHEN o_custkey % 6 <> 0 AND age > 400 THEN 'stale' ELSE 'current' END AS freshness, CASE WHEN (o_custkey % 17 = 0 AND o_custkey % 13 <> 0) OR lost::DOUBLE / n > 0.25 THEN 'changed' WHEN o_custkey % 13 <> 0 THEN 'stable' ELSE 'unknown' END AS drift FROM r)
+        SELECT o_orderpriority, o_custkey, status, license_state, freshness, drift, CASE WHEN status = 'succeeded' AND freshness <> 'stale' AND drift <> 'changed' AND license_state = 'compliant' THEN 'healthy' WHEN status IN ('failed', 'quarantined') THEN 'unhealthy' ELSE 'degraded' END AS health FROM s""",
+    "public_records": f"""WITH {governed._BUILT}, v AS (SELECT record_id FROM e WHERE unit IS NOT NULL AND k % 5 <> 1 AND k % 11 <> 5)
+        SELECT k AS row_number, CAST(NULL AS VARCHAR) AS access_notes, (k % 7 <> 2)::INT AS n_datasets, (k % 7 <> 2)::INT AS n_batches, CASE WHEN k % 7 = 2 THEN 0 WHEN baseline IS NULL THEN 1 ELSE 2 END AS n_observations, 0 AS n_reviewers
+        FROM e WHERE unit IS NOT NULL AND k % 2 = 0 AND k % 3 <> 0 AND record_id IN (SELECT record_id FROM v)""",
 }
