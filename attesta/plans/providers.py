@@ -44,7 +44,7 @@ FEEDS = {
     "exoplanets": ("part", "p_partkey", "named_struct('pl_name', if(p_size % 2 = 0, p_name, ''), 'toi', p_size, 'tic_id', p_brand, 'disc_year', cast(p_partkey as string))", {"table": "ps"}),
     "archive_items": ("pages", "page_id", "named_struct('identifier', concat(' i', page_id % 200, ' '), 'title', url, 'mediatype', 'web', 'date', if(page_id % 5 = 0, '', '2024'), 'description', array(concat('d', page_id % 3), 'x'), 'creator', if(page_id % 2 = 0, array('a', ' ', concat('c', page_id % 4)), null), 'subject', concat('s', page_id % 6))", {}),
     "archive_item_versions": ("pages", "page_id", "named_struct('identifier', concat('i', page_id % 50), 'title', concat('t', page_id % 150))", {}),
-    "archive_files": ("pages", "page_id div 100", "named_struct('identifier', concat('i', page_id % 20), 'name', if(page_id % 11 = 0, '', concat('f', page_id % 60)), 'size', if(page_id % 3 = 0, '-1', cast(page_id as string)), 'private', if(page_id % 2 = 0, 'TRUE', null), 'format', if(page_id % 4 = 0, null, 'warc'), 'md5', concat('m', page_id), 'sha1', concat('s', page_id))", {}),
+    "archive_files": ("pages", "page_id div 100", "named_struct('identifier', concat('i', page_id % 20), 'name', if(page_id % 11 = 0, '', concat('f', page_id % 60)), 'size', if(page_id % 3 = 0, '-1', cast(page_id as string)), 'private', if(page_id % 2 = 0, 'TRUE', null), 'format', if(page_id % 4 = 0, null, 'warc'), 'md5', concat('m', page_id), 'sha1', concat('s', page_id))", {"version": "landed_at"}),
     "wayback_captures": ("pages", "page_id", "named_struct('target', concat('t', page_id % 20), 'timestamp', if(page_id % 7 = 0, null, cast(2000 + page_id % 9 as string)), 'original', if(page_id % 2 = 0, url, null), 'length', if(page_id % 3 = 0, null, cast(page_id as string)), 'mimetype', if(page_id % 5 = 0, 'text/html', null), 'statuscode', if(page_id % 4 = 0, '200', ''), 'digest', concat('d', page_id), 'url', if(page_id % 6 = 0, concat('r', page_id), null))", {}),
 }
 

@@ -3,8 +3,7 @@
 A record is a JSON object as text, as the payload readers give it. A specification names the key, the columns with the
 fields they come from in order of preference, which columns are required, and for observations where the value is, or
 that each of the requested fields is one (wide to long). Of records with one key the one landed last stays, with the
-time the key was first seen. Where a specification keeps columns, the last value that is there stays instead; where rows are
-children, only those of their parent's latest landing stay. Everything is a projection and one grouping by key, which the map side reduces first.
+time the key was first seen. Where a specification keeps columns, the last value that is there stays instead. Everything is a projection and one grouping by key, which the map side reduces first.
 
 Texts are trimmed, empty ones count as missing. An object stands for its value, name, title or description, a list for
 its items joined. Values within dimensions and hashes are compared as texts; a record without identifier is known by the
@@ -168,16 +167,17 @@ def _dimensions(spec: dict, metrics: list[str]) -> Column | None:
     return None
 
 
-def normalised(records: DataFrame, name: str, metrics: list[str] | None = None, order: str = "landed_at", record: str = "record", **settings) -> DataFrame:
+def normalised(records: DataFrame, name: str, metrics: list[str] | None = None, order: str = "landed_at", record: str = "record", version: str | None = None, **settings) -> DataFrame:
     """The table of specification ``name`` from ``records``, which have a JSON text and the time it landed.
 
     ``metrics`` are the requested fields where each is an observation of its own. Of records that share a key, one with
-    the latest ``order`` stays; ``order`` should be unique, else the greatest columns among the latest stay.
+    the latest ``order`` stays; ``order`` should be unique, else the greatest columns among the latest stay. With ``version``,
+    a column that tells which fetch of its parent a child row came with, only those of the parent's latest fetch stay.
     """
     spec, metrics = SPECS[name], list(metrics or [])
     if spec.get("wide") and not metrics:
         raise ValueError(f"{name} needs metrics")
-    rows = records.select(F.col(order).alias("_order"), F.from_json(record, "map<string,string>").alias("_fields")).where("_fields IS NOT NULL")
+    rows = records.select(F.col(order).alias("_order"), F.col(version or order).alias("_version"), F.from_json(record, "map<string,string>").alias("_fields")).where("_fields IS NOT NULL")
     columns = {c: _chosen(paths, settings) for c, paths in spec["columns"].items()}
     if spec.get("wide"):
         asked = [m for m in metrics if m.lower() not in spec.get("never_metrics", ()) and m not in spec.get("without", ())]
@@ -206,7 +206,7 @@ def normalised(records: DataFrame, name: str, metrics: list[str] | None = None,
         has = {kind: _text(_field(field)).isNotNull() for kind, field in named.items()}
         one = F.coalesce(*(F.when(there, kind) for kind, there in has.items()), F.lit("unknown"))
         columns[column] = F.when(reduce(Column.__and__, has.values()), "both").otherwise(one)
-    rows = rows.select("_order", *(c.alias(n) for n, c in columns.items()))
+    rows = rows.select("_order", "_version", *(c.alias(n) for n, c in columns.items()))
     for column in spec["required"]:
         rows = rows.where(F.col(column).isNotNull())
     for column, never in spec.get("never", {}).items():
@@ -219,9 +219,12 @@ def normalised(records: DataFrame, name: str, metrics: list[str] | None = None,
         return rows.groupBy(*key).agg(*seen)
     last = F.max(F.struct("_order", F.struct(*rest).alias("rest"))).alias("last")
     kept = [F.max(F.when(F.col(c).isNotNull(), F.struct("_order", c)))[c].alias(f"_{c}") for c in spec.get("keep", [])]
-    found = rows.groupBy(*key).agg(last, *kept, *seen).select(*key, *(f"_{c}" for c in spec.get("keep", [])), "last.rest.*", "first_seen_at", "fetched_at")
-    found = found.select(*(F.col(f"_{c}").alias(c) if c in spec.get("keep", []) else F.col(c) for c in (*key, *rest, "first_seen_at", "fetched_at")))
-    if parent := spec.get("children_of"):  # what the parent's latest landing no longer has is gone; few landings a parent
-        latest = rows.groupBy(*parent).agg(F.max("_order").alias("fetched_at"))
-        found = found.join(latest, [*parent, "fetched_at"], "left_semi")
-    return found
+    children = spec.get("children_of") if version else None
+    if children:  # few fetches a parent
+        latest = rows.groupBy(*children).agg(F.max("_version").alias("_latest"))
+        kept.append(F.max("_version").alias("_version"))
+    found = rows.groupBy(*key).agg(last, *kept, *seen)
+    if children:
+        found = found.join(latest, children).where("_version = _latest")
+    found = found.select(*key, *(f"_{c}" for c in spec.get("keep", [])), "last.rest.*", "first_seen_at", "fetched_at")
+    return found.select(*(F.col(f"_{c}").alias(c) if c in spec.get("keep", []) else F.col(c) for c in (*key, *rest, "first_seen_at", "fetched_at")))

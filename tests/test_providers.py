@@ -61,6 +61,22 @@ def test_bodies_files_and_captures(spark):
     assert rows(captures, "timestamp", "original_url", "digest") == [("2020", "u", "d")]
 
 
+def test_values_of_captures_are_kept_and_files_of_older_fetches_go(spark):
+    records = landed(spark, {"timestamp": "2020", "digest": "d", "length": "5", "mimetype": "x"}, {"timestamp": "2020", "statuscode": "200", "length": "-", "mimetype": "y"})
+    captures = normalised(records, "wayback_captures", target_url="u")
+    assert rows(captures, "mimetype", "status_code", "digest", "length_bytes", "replay_url") == [("y", "200", "d", 5, "https://web.archive.org/web/2020/u")]
+    files = landed(spark, {"identifier": "i", "name": "a"}, {"identifier": "i", "name": "b"}, {"identifier": "j", "name": "a"}, {"identifier": "i", "name": "b"}, {"identifier": "i", "name": "c"})
+    fetched = files.selectExpr("landed_at", "CASE WHEN landed_at < 3 THEN 1 ELSE 2 END AS fetch", "record")
+    assert rows(normalised(fetched, "archive_files", version="fetch"), "identifier", "file_name", "first_seen_at") == [("i", "b", 1), ("i", "c", 4), ("j", "a", 2)]
+    items = normalised(landed(spark, {"identifier": "i", "creator": ["a", " ", "b"], "subject": "s"}), "archive_items")
+    assert rows(items, "creators", "collections", "subjects") == [('["a","b"]', None, '["s"]')] or rows(items, "creators", "collections", "subjects") == [('["a","b"]', "[]", '["s"]')]
+
+
+def test_rows_landed_at_once_leave_one(spark):
+    records = spark.createDataFrame([(1, '{"series":"S","areaCode":4,"year":1,"value":"438"}'), (1, '{"series":"S","areaCode":4,"year":1,"value":"1499"}')], "landed_at int, record string")
+    assert rows(normalised(records, "un_sdg_observations"), "value_numeric") == [(1499.0,)]
+
+
 def test_equal_records_without_identifier_are_one(spark):
     records = landed(spark, {"a": "1", "b": "2"}, {"b": "2", "a": "1"}, {"a": "2"})
     assert rows(normalised(records, "epa_records", table="t"), "table_name", "first_seen_at", "fetched_at") == [("t", 0, 1), ("t", 2, 2)]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import derive
-from attesta.operators import entities, evidence, refresh, registries
+from attesta.operators import comparability, entities, evidence, refresh, registries
 
 
 def test_containing_equals_comparing_all(spark):
@@ -85,3 +85,24 @@ def test_history_counts_children_by_version(spark):
     children = spark.createDataFrame([("a", 1), ("a", 1), ("c", 1)], "k string, v int")
     found = {(r.k, r.v): (r.versions_behind, r.snapshot_count) for r in registries.history(versions, "k", "v", children).collect()}
     assert found == {("a", 1): (1, 2), ("a", 2): (0, 0), ("b", 1): (0, 0)}
+
+
+def test_health_of_runs(spark):
+    columns = "atomic boolean, inserted int, updated int, skipped int, quarantined int, expected int, missing int, license string, license_status string, age_seconds int, sla_seconds int, fingerprint string, last_fingerprint string"
+    rows = [
+        (False, 1, 0, 0, 0, 4, 1, "open", None, 5, 5, "f", "f"), (True, 1, 0, 0, 1, 4, 0, "open", None, None, 5, "f", None), (False, 0, 0, 0, 2, 0, 0, "", None, 6, 5, None, "f"), (False, 0, 0, 3, 1, 4, 2, "open", "restricted", 6, None, "f", "g"),
+    ]
+    found = refresh.run_states(spark.createDataFrame(rows, columns)).collect()
+    assert [(r.status, r.license_state, r.freshness, r.drift, r.health) for r in found] == [
+        ("succeeded", "compliant", "current", "stable", "healthy"), ("failed", "compliant", "unknown", "stable", "unhealthy"),
+        ("quarantined", "missing", "stale", "unknown", "unhealthy"), ("partial", "restricted", "current", "changed", "degraded"),
+    ]
+
+
+def test_conversions_go_through_the_canonical_unit(spark):
+    unit = "struct<dimension:string,canonical_unit_id:string,conversion_factor:double,conversion_offset:double>"
+    f, k, kg, other = ("temperature", "k", 5 / 9, 255.3722222222), ("temperature", "k", 1.0, 0.0), ("mass", "kg", 1.0, 0.0), ("temperature", "r", 1.0, 0.0)
+    rows = spark.createDataFrame([(212.0, f, k), (1.0, f, kg), (1.0, other, k), (None, k, k)], f"v double, a {unit}, b {unit}")
+    found = [r[0] for r in rows.select(comparability.converted(F.col("v"), F.col("a"), F.col("b"))).collect()]
+    assert abs(found[0].value - 373.15) < 1e-6
+    assert [r.error for r in found] == [None, "units have incompatible dimensions", "units do not share a canonical conversion basis", "value must be finite"]
