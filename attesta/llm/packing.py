@@ -15,6 +15,7 @@ import base64
 import heapq
 import re
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import read_table
+from .textvec import release
 
 WINDOW = 1024
 FRAGMENT = 256
@@ -42,14 +44,13 @@ class Encoder:
 
     The same vocabulary as ranks gives the same ids in about a fifth of the time, so texts are encoded with those; the
     tokenizer itself takes the texts that this cannot handle, and a probe of both at the start makes sure they agree.
+    After the probe it is dropped, and read again by the first text that needs it.
     """
 
     PROBE = "It's 1 tEst\n\n of  <|endoftext|>, naïve \u3042\u00a0 \U0001f600 ids\t\r\n."
 
     def __init__(self, vocabulary: str, ranks: str | None):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.vocabulary = vocabulary
         self.fast = None
         if ranks:
             import public_tokenizers
@@ -61,6 +62,14 @@ class Encoder:
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
             if fast.encode(self.PROBE, allowed_special="all") == self._slow(self.PROBE).tolist():
                 self.fast = fast
+                del self.tokenizer
+        release()
+
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
 
     def _slow(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")

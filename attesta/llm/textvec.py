@@ -6,11 +6,18 @@ passes instead of one Python call per word. Hashes are 64-bit and depend only on
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once: bounds the working memory (about 40 bytes for each byte of the block).
 BLOCK = 1 << 20
+#: The same for words, whose working memory each worker of a long job holds beside what it keeps.
+WORD_BLOCK = 1 << 18
+
+#: Of the C library, where it has it: gives freed memory back to the system.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
 
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -34,7 +41,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        grown = np.full(max(n, BLOCK + 4096), base, dtype=np.uint64)
+        grown = np.full(max(n, WORD_BLOCK + 4096), base, dtype=np.uint64)
         grown[0] = 1
         have = _powers[name] = np.cumprod(grown, dtype=np.uint64)
     return have[:n]
@@ -62,22 +69,28 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at - at[0]
 
 
-def slices(batches, rows: int = 1024):
+def release() -> None:
+    """Gives unused memory back to the system: workers live on from task to task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def slices(batches, rows: int = 256):
     """Record batches of at most ``rows`` rows: bounds the working memory of what is computed over a batch.
 
-    Workers live on from task to task, so Arrow's pool gives what it no longer uses back to the system after each batch.
+    What is no longer used is given back after each batch.
     """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def _blocks(space: np.ndarray, offsets: np.ndarray):
-    """Byte ranges of about BLOCK bytes that cut no word."""
-    start, total = 0, int(offsets[-1])
+    """Byte ranges of about WORD_BLOCK bytes that cut no word."""
+    start, total, size = 0, int(offsets[-1]), min(BLOCK, WORD_BLOCK)
     while start < total:
-        end = min(start + BLOCK, total)
+        end = min(start + size, total)
         if end < total:
             bound = int(offsets[np.searchsorted(offsets, end, "right") - 1])
             if bound > start:

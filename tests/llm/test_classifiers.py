@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -50,6 +51,15 @@ def test_ngrams_are_those_of_each_text(monkeypatch):
             assert got == want
 
 
+def test_hashing_words_holds_little_beside_its_result():
+    data, offsets = textvec.buffers(pa.array(["word " * 200_000] * 2))
+    tracemalloc.start()
+    textvec.word_hashes(data, offsets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 15 * len(data)
+
+
 def test_words_do_not_depend_on_the_batch(monkeypatch):
     texts = ["One two", "two\x0bone ", "", "a" * 40 + " two", "é x two", "two"]
     whole = textvec.word_hashes(*textvec.buffers(pa.array(texts)))

@@ -29,6 +29,14 @@ def test_ids_are_those_of_the_tokenizer(encoder, text):
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_the_tokenizer_is_dropped_after_the_probe_and_read_again():
+    found = packing.Encoder(*packing.default_vocabulary())
+    assert found.fast is not None and "tokenizer" not in vars(found)
+    hard = "a" + " " * 1500 + "b"
+    got = np.frombuffer(found.encode(hard), "<u4").tolist()
+    assert "tokenizer" in vars(found) and got == found.tokenizer.encode(hard, add_special_tokens=False).ids
+
+
 def test_every_id_lies_in_one_piece(spark, documents, folder, encoder):
     rows = list(enumerate(TEXTS)) + [(3, "a")]
     got = packing.query(spark, folder(documents(rows))).collect()
