@@ -106,10 +106,18 @@ RECORDS = (
   FROM facts JOIN nation ON entity_id = n_nationkey))"""
 )
 
-STUDIO = {"filters": {"confidence_min": 30, "quality_min": 40, "period_from": "1996-01-01", "period_to": "2000-12-31", "tags": ["even"], "search": "nation_1", "publication_status": ["internal", "external"]}, "sort": [{"field": "source_name", "direction": "desc"}, {"field": "current"}], "limit": 200}
+_PERIOD = {"confidence_min": 30, "quality_min": 40, "period_from": "1996-01-01", "period_to": "2000-12-31", "tags": ["even"]}
+_SORT = [{"field": "source_name", "direction": "desc"}, {"field": "current"}]
+
+#: The query of ``studio_query``; every record's indicator name has the searched word.
+STUDIO_QUERY = {"filters": {**_PERIOD, "search": "revenue"}, "sort": _SORT, "limit": 200}
+
+#: A narrower one, which is frozen as a run.
+STUDIO = {"filters": {**_PERIOD, "search": "nation_1", "publication_status": ["internal", "external"]}, "sort": _SORT, "limit": 200}
 
 #: The same filters and order for the comparison.
-STUDIO_WHERE = "confidence >= 30 AND quality >= 40 AND coalesce(start_date, '') >= '1996-01-01' AND coalesce(end_date, '9999-12-31') <= '2000-12-31' AND even AND entity_name LIKE '%NATION_1%' AND publication_status IN ('internal', 'external')"
+STUDIO_QUERY_WHERE = "confidence >= 30 AND quality >= 40 AND coalesce(start_date, '') >= '1996-01-01' AND coalesce(end_date, '9999-12-31') <= '2000-12-31' AND even"
+STUDIO_WHERE = f"{STUDIO_QUERY_WHERE} AND entity_name LIKE '%NATION_1%' AND publication_status IN ('internal', 'external')"
 STUDIO_ORDER = "lower(source_name) DESC NULLS FIRST, current ASC NULLS LAST, updated_at DESC, record_id"
 
 _PAIRS = (
@@ -129,7 +137,7 @@ pairs AS (
 
 
 def studio_query(spark: SparkSession, d: str) -> DataFrame:
-    return studio.run_query(records(spark, d), STUDIO).select("record_id", "entity_name", "current", "source_name", "confidence", "percent_change", "signal")
+    return studio.run_query(records(spark, d), STUDIO_QUERY).select("record_id", "entity_name", "current", "source_name", "confidence", "percent_change", "signal")
 
 
 def studio_comparisons(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +195,7 @@ SQL = {
         'entity:' || trim(regexp_replace(lower(entity_name), '[^a-z0-9]+', '-', 'g'), '-') || ':' || substr(sha256('["' || lower(trim(entity_name)) || '","' || lower(trim(entity_id)) || '"]'), 1, 12) AS stable_id,
         'node:' || substr(sha256(entity_id || '|' || coalesce(source_name, '')), 1, 32) AS node_id, 'year' AS period_type, source_name IS NULL AS no_source FROM records""",
     "studio_query": f"""WITH {RECORDS} SELECT record_id, entity_name, current, source_name, confidence, percent_change, signal FROM records
-        WHERE {STUDIO_WHERE} ORDER BY {STUDIO_ORDER} LIMIT 200""",
+        WHERE {STUDIO_QUERY_WHERE} ORDER BY {STUDIO_ORDER} LIMIT 200""",
     "studio_comparisons": f"WITH {_PAIRS} SELECT * FROM pairs",
     "studio_warnings": f"""WITH {_PAIRS} SELECT record_id, 'publication_blocked' AS warning FROM records WHERE publication_status = 'blocked'
         UNION ALL SELECT record_id, 'low_quality' FROM records WHERE quality < 70 UNION ALL SELECT record_id, 'evidence_status' FROM records WHERE evidence_status <> 'reviewable'

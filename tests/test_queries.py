@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from attesta import registry
+from attesta.plans import star
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,3 +40,9 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str) == want
+
+
+def test_studio_query_returns_every_record_of_its_period(spark):
+    own = star.records(spark, FOLDER).where("confidence >= 30 AND quality >= 40 AND start_date >= '1996-01-01' AND coalesce(end_date, '9999-12-31') <= '2000-12-31' AND array_contains(tags, 'even')")
+    want = {r.record_id for r in own.select("record_id").collect()}
+    assert {r.record_id for r in star.studio_query(spark, FOLDER).collect()} == want and len(want) == 60
