@@ -1,6 +1,7 @@
 """Operators on small tables: the semantics that queries over the given tables don't reach."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +181,18 @@ def test_only_atomic_runs_fail(spark):
     assert refresh.reconciliation(rows, none, atomic=True).first().status == "failed"
     found = refresh.alerts(refresh.reconciliation(rows, none, atomic=True)).collect()
     assert [tuple(r) for r in found] == [("reconciliation", "critical"), ("quarantine", "warning"), ("record-drift", "warning")]
+
+
+def test_page_audit_hashes_all_page_hashes_in_order(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(r, i, f"{r} é {i * 7919 % 101}") for r in ("a", "b", None) for i in range(40)] + [("c", 1, ""), ("a", 7, "x"), ("a", None, "last")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        pages = spark.createDataFrame(rows, "run string, page long, html string").repartition(5)
+        got = {r.run: tuple(r)[1:] for r in payloads.page_audit(pages, "run", "page", "html").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for run in ("a", "b", "c", None):
+        own = sorted((p is None, p or 0, sha(h), h) for r, p, h in rows if r == run)
+        assert got.pop(run) == (len(own), sum(len(o[3].encode()) for o in own), sha("".join(o[2] for o in own)), len(own[-1][3]))
+    assert not got
