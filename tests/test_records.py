@@ -165,6 +165,12 @@ def test_first_errors(found):
     assert ("review_workflow.state", "approved needs an approval decision") in [tuple(e) for e in found["approved"].errors]
 
 
+def test_rules_are_not_evaluated_inside_a_filter(spark, tmp_path):
+    built(spark, [AUTHORED]).write.parquet(f"{tmp_path}/records")
+    plan = validation.validated(spark.read.parquet(f"{tmp_path}/records"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "is no valid id" in plan and "filter(array(" not in plan and "filter(concat(" not in plan
+
+
 def test_altered_derivations_are_found(spark):
     r = built(spark, [AUTHORED])
     r = r.withColumn("measurement", F.col("measurement").withField("percent_change", F.lit(999.0))).withColumn("evidence_chain", F.col("evidence_chain").withField("completeness_score", F.lit(4)))
