@@ -6,6 +6,7 @@ so doing a step twice, or again after a failure, gives what doing it once gives.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,29 +157,65 @@ def frozen(spark: SparkSession, root: str, run: str) -> tuple[DataFrame, dict]:
 EDGE_BUCKETS = 16
 
 
+EDGE_ID = "derived-lineage:"
+
+
 def append_edges(edges: DataFrame, table: str, path: str) -> int:
     """Appends edges (run_id, derived_id, source_id, transformation) that are not there yet to two bucketed tables.
 
     ``table``_by_derived and ``table``_by_source hold the same edges, bucketed and sorted by either end, so that lookups
-    by a table bucketed alike read both directions without a shuffle. Returns how many were new.
+    by a table bucketed alike read both directions without a shuffle. New edges are found and stored once and then written
+    to both, unless the two differ after a failure. Returns how many were new.
     """
-    spark = edges.sparkSession
-    named = edges.withColumn("lineage_id", F.concat(F.lit("derived-lineage:"), F.substring(F.sha2(F.concat_ws("|", "run_id", "derived_id", "source_id"), 256), 1, 32))).dropDuplicates(["lineage_id"])
-    sides = {"derived": "derived_id", "source": "source_id"}
+    spark, key = edges.sparkSession, "_key"  # 16 bytes: ids begin alike, which makes them slow to sort
+    names = {f"{table}_by_{side}": (side, f"{side}_id") for side in ("derived", "source")}
+    there = [name for name in names if spark.catalog.tableExists(name)]
+    sha = F.sha2(F.concat_ws("|", "run_id", "derived_id", "source_id"), 256)
+    rows = edges.withColumn(key, F.unhex(F.substring(sha, 1, 32))).dropDuplicates([key])
+    known = lambda name: spark.table(name).select(F.unhex(F.substring("lineage_id", len(EDGE_ID) + 1, 32)).alias(key))
+    alike = not there or len(there) == len(names) and len({_edges_digest(spark, name) for name in names}) == 1
     counts = []
-    for side, column in sides.items():
-        name = f"{table}_by_{side}"
-        fresh = named.join(spark.table(name).select("lineage_id"), "lineage_id", "left_anti") if spark.catalog.tableExists(name) else named
-        n = fresh.count()
-        if n:
-            fresh.write.mode("append").bucketBy(EDGE_BUCKETS, column).sortBy(column).option("path", f"{path}/{side}").saveAsTable(name)
-        counts.append(n)
+    for group in [list(names)] if alike else [[name] for name in names]:
+        fresh = rows.join(known(group[0]), key, "left_anti") if group[0] in there else rows
+        kept = [F.col(c) for c in edges.columns]
+        fresh = fresh.select(*kept, F.concat(F.lit(EDGE_ID), F.lower(F.hex(key))).alias("lineage_id"))
+        aside = f"{path}/new-{uuid.uuid4().hex}"
+        fresh.write.parquet(aside)
+        new = spark.read.schema(fresh.schema).parquet(aside)
+        counts.append(new.count())
+        for name in group if counts[-1] else ():
+            side, column = names[name]
+            new.write.mode("append").bucketBy(EDGE_BUCKETS, column).sortBy(column).option("path", f"{path}/{side}").saveAsTable(name)
+        versions.remove(spark, aside)
     return max(counts)
 
 
-def edges_of(spark: SparkSession, table: str, asked: DataFrame, record: str = "record_id") -> DataFrame:
-    """Edges at either end of the asked records: asked, direction (derived or source), lineage_id, the other end and the run."""
+def _edges_digest(spark: SparkSession, name: str) -> tuple:
+    """The number of edges and two sums of their ids' hashes: equal for tables of the same edges."""
+    sums = (F.sum(h.cast("decimal(38,0)")).cast("string") for h in (F.xxhash64("lineage_id"), F.xxhash64(F.lit(1), "lineage_id")))
+    return tuple(spark.table(name).agg(F.count(F.lit(1)), *sums).first())
+
+
+def _edge_sides(spark: SparkSession, table: str, asked: DataFrame, record: str) -> list[DataFrame]:
     ids = asked.select(F.col(record).alias("asked"))
     up = ids.join(spark.table(f"{table}_by_derived"), F.col("asked") == F.col("derived_id")).select("asked", F.lit("derived").alias("direction"), "lineage_id", F.col("source_id").alias("other"), "run_id")
     down = ids.join(spark.table(f"{table}_by_source"), F.col("asked") == F.col("source_id")).select("asked", F.lit("source").alias("direction"), "lineage_id", F.col("derived_id").alias("other"), "run_id")
+    return [up, down]
+
+
+def edges_of(spark: SparkSession, table: str, asked: DataFrame, record: str = "record_id") -> DataFrame:
+    """Edges at either end of the asked records: asked, direction (derived or source), lineage_id, the other end and the run."""
+    up, down = _edge_sides(spark, table, asked, record)
     return up.unionByName(down)
+
+
+def edge_counts(spark: SparkSession, table: str, asked: DataFrame, record: str = "record_id") -> DataFrame:
+    """Of the edges of ``edges_of`` by asked record and direction: how many, how many other ends, and the least of those.
+
+    Either side is counted within its buckets before the two are put together, so the joined edges are not shuffled.
+    """
+    counted = [
+        rows.groupBy("asked", "direction", "other").agg(F.count(F.lit(1)).alias("_n")).groupBy("asked", "direction").agg(F.sum("_n").alias("n"), F.count("other").alias("n_others"), F.min("other").alias("first_other"))
+        for rows in _edge_sides(spark, table, asked, record)
+    ]
+    return counted[0].unionByName(counted[1])

@@ -83,8 +83,7 @@ def derived_lineage(spark, d):
     ledger.append_edges(lines, name, path)
     again = ledger.append_edges(lines, name, path)
     asked = table(spark, d, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("record_id")).unionByName(table(spark, d, "orders").select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("record_id")))
-    found = ledger.edges_of(spark, name, asked)
-    return found.groupBy("asked", "direction").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("other").alias("n_others"), F.min("other").alias("first_other")).withColumn("n_again", F.lit(again).cast("long"))
+    return ledger.edge_counts(spark, name, asked).withColumn("n_again", F.lit(again).cast("long"))
 
 
 QUERIES = {"replay_runs": replay_runs, "source_snapshots": source_snapshots, "rederived_records": rederived_records, "frozen_run": frozen_run, "derived_lineage": derived_lineage}

@@ -84,6 +84,28 @@ def test_a_changed_frozen_file_is_found(spark, rows, tmp_path):
     assert not ledger.frozen(spark, root, run)[1]["intact"]
 
 
+def test_edges_of_a_failed_append_are_made_up_for_and_counted_in_their_buckets(spark, tmp_path):
+    edges = spark.createDataFrame([("r", "d1", "s1", "{}"), ("r", "d1", "s2", "{}"), ("q", "d1", "s1", "{}"), ("r", "d2", "s1", "{}")], "run_id string, derived_id string, source_id string, transformation string")
+    name, path = "edges_failed_test", f"{tmp_path}/e"
+    assert ledger.append_edges(edges.where("source_id = 's1'"), name, path) == 3
+    spark.sql(f"DROP TABLE {name}_by_source")
+    spark.createDataFrame([], spark.table(f"{name}_by_derived").schema).write.bucketBy(ledger.EDGE_BUCKETS, "source_id").sortBy("source_id").mode("overwrite").option("path", f"{path}/source").saveAsTable(f"{name}_by_source")
+    assert ledger.append_edges(edges, name, path) == 4
+    assert ledger.append_edges(edges, name, path) == 0
+    assert {tuple(r) for r in spark.table(f"{name}_by_source").select("lineage_id", "derived_id").collect()} == {tuple(r) for r in spark.table(f"{name}_by_derived").select("lineage_id", "derived_id").collect()}
+    assert {len(r.lineage_id) for r in spark.table(f"{name}_by_derived").collect()} == {48}
+    asked = spark.createDataFrame([("s1",), ("d1",), ("d3",)], "record_id string")
+    counted = ledger.edge_counts(spark, name, asked)
+    assert {tuple(r) for r in counted.select("asked", "direction", "n", "n_others", "first_other").collect()} == {("s1", "source", 3, 2, "d1"), ("d1", "derived", 3, 2, "s1")}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ledger.edge_counts(spark, name, asked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 2  # the asked records, once for each side
+
+
 def test_edges_are_kept_once_and_read_without_shuffling_them(spark, tmp_path):
     edges = spark.createDataFrame([("r", "d1", "s1", "{}"), ("r", "d1", "s2", "{}"), ("r", "d2", "s1", "{}"), ("r", "d1", "s1", "{}")], "run_id string, derived_id string, source_id string, transformation string")
     name = "edges_test"
