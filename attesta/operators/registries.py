@@ -93,11 +93,16 @@ def seeded(seeds: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame:
 
 
 def rollup(name: str, tables: dict[str, tuple[DataFrame, Column | None]]) -> DataFrame:
-    """(rollup, measure, value): for every table how many of its rows hold the condition."""
-    parts = [df.agg(F.count_if(condition if condition is not None else F.lit(True)).alias("value")).select(F.lit(name).alias("rollup"), F.lit(measure).alias("measure"), "value") for measure, (df, condition) in tables.items()]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    """(rollup, measure, value): for every table how many of its rows hold the condition; measures of one table read it once."""
+    by_table = {}
+    for measure, (df, condition) in tables.items():
+        by_table.setdefault(id(df), (df, {}))[1][measure] = F.lit(True) if condition is None else condition
+    found = None
+    for df, measures in by_table.values():
+        counts = df.agg(*(F.count_if(condition).alias(f"_{measure}") for measure, condition in measures.items()))
+        values = F.array(*(F.struct(F.lit(measure).alias("measure"), F.col(f"_{measure}").alias("value")) for measure in measures))
+        part = counts.select(F.lit(name).alias("rollup"), F.inline(values))
+        found = part if found is None else found.unionByName(part)
     return found
 
 

@@ -177,7 +177,9 @@ def normalised(records: DataFrame, name: str, metrics: list[str] | None = None,
     spec, metrics = SPECS[name], list(metrics or [])
     if spec.get("wide") and not metrics:
         raise ValueError(f"{name} needs metrics")
-    rows = records.select(F.col(order).alias("_order"), F.col(version or order).alias("_version"), F.from_json(record, "map<string,string>").alias("_fields")).where("_fields IS NOT NULL")
+    # exploded, so that filters of columns stay above it: pushed below, each of their fields parses the record again
+    parsed = F.explode(F.array(F.from_json(record, "map<string,string>")))
+    rows = records.select(F.col(order).alias("_order"), F.col(version or order).alias("_version"), parsed.alias("_fields")).where("_fields IS NOT NULL")
     columns = {c: _chosen(paths, settings) for c, paths in spec["columns"].items()}
     if spec.get("wide"):
         asked = [m for m in metrics if m.lower() not in spec.get("never_metrics", ()) and m not in spec.get("without", ())]

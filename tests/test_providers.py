@@ -92,3 +92,9 @@ def test_no_records_and_no_objects_give_no_rows_with_the_same_columns(spark, nam
 def test_metrics_are_needed_where_fields_are_observations(spark):
     with pytest.raises(ValueError, match="metrics"):
         normalised(landed(spark, {}), "census_observations")
+
+
+def test_a_record_is_parsed_once(spark):
+    landed = spark.range(3).selectExpr("id AS landed_at", "to_json(named_struct('code', id, 'title', concat('t', id))) AS record")
+    plan = normalised(landed, "un_sdg_goals")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(MapType") == 1

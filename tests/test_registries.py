@@ -106,3 +106,10 @@ def test_conversions_go_through_the_canonical_unit(spark):
     found = [r[0] for r in rows.select(comparability.converted(F.col("v"), F.col("a"), F.col("b"))).collect()]
     assert abs(found[0].value - 373.15) < 1e-6
     assert [r.error for r in found] == [None, "units have incompatible dimensions", "units do not share a canonical conversion basis", "value must be finite"]
+
+
+def test_measures_of_one_table_read_it_once(spark):
+    rows = spark.range(10)
+    found = registries.rollup("r", {"all": (rows, None), "even": (rows, F.col("id") % 2 == 0), "other": (spark.range(3), None)})
+    assert {tuple(r) for r in found.collect()} == {("r", "all", 10), ("r", "even", 5), ("r", "other", 3)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 10") == 1
